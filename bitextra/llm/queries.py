@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitextra.llm import copies, near
+from bitextra.llm import copies, langid, looks, near
 from bitextra.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,26 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return near.record_links(table(spark, d, "records"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(table(spark, d, "records"), table(spark, d, "langsamples"))
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.record_languages(table(spark, d, "records"), table(spark, d, "langsamples"))
+
+
+def p3_passages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.record_passages(table(spark, d, "records"), table(spark, d, "langsamples"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_alikes(table(spark, d, "records"))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return looks.record_forms(table(spark, d, "records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.survivors(table(spark, d, "records"), table(spark, d, "memories"))
 
@@ -43,6 +63,8 @@ def p5_golden(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_collapsed": p1_collapsed, "p1_collisions": p1_collisions,
     "p2_found": p2_found, "p2_links": p2_links,
+    "p3_found": p3_found, "p3_languages": p3_languages, "p3_passages": p3_passages,
+    "p6_found": p6_found, "p6_forms": p6_forms,
     "p5_found": p5_found, "p5_golden": p5_golden,
 }
 
