@@ -129,24 +129,37 @@ def substring_score(term: str, text: str, least: float) -> float:
     return score if score >= least else 0.0
 
 
-def word_score(a: str, b: str, least: float = 0.0) -> float:
-    """Token alignment in which replacing a token costs as much as the two differ."""
+_TOKEN_COST: dict[tuple[str, str], float] = {}
+
+
+def _token_cost(a: str, b: str) -> float:
+    """1 - edit score of two tokens; kept, as texts share their words."""
+    cost = _TOKEN_COST.get((a, b))
+    if cost is None:
+        if len(_TOKEN_COST) > 500_000:
+            _TOKEN_COST.clear()
+        cost = _TOKEN_COST[a, b] = 1 - edit_score(a, b)
+    return cost
+
+
+def word_score(a: str, b: str, least: float = 0.0, stop: bool = False) -> float:
+    """Token alignment in which replacing a token costs as much as the two differ.
+
+    With ``stop``, 0 as soon as the score cannot reach ``least``.
+    """
     x, y = tokenize(a), tokenize(b)
     if not x or not y:
         return edit_score(a, b, least)
-    known: dict[tuple[str, str], float] = {}
+    h = max(len(x), len(y))
+    most = h * (1 - least) + 1e-9 if stop else float("inf")
     row = [float(i) for i in range(len(x) + 1)]
     for j, t in enumerate(y, 1):
         last, row[0] = row[0], float(j)
         for i, s in enumerate(x, 1):
-            if s == t:
-                cost = 0.0
-            else:
-                cost = known.get((s, t), -1.0)
-                if cost < 0:
-                    cost = known[s, t] = 1 - edit_score(s, t)
+            cost = 0.0 if s == t else _token_cost(s, t)
             last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + cost)
-    h = max(len(x), len(y))
+        if min(row) > most:
+            return 0.0
     return max(0.0, min(1.0, (h - row[-1]) / h))
 
 
@@ -159,7 +172,7 @@ def fuzzy_score(query: str, source: str, least: float) -> float:
         return 1.0
     if min(len(query), len(source)) / h < least or edit_lower_bound(query, source) > h - int(h * least):
         return 0.0
-    score = edit_score(query, source, least) if by_char(query) else word_score(query, source, least)
+    score = edit_score(query, source, least) if by_char(query) else word_score(query, source, least, stop=True)
     return score if score >= least else 0.0
 
 
