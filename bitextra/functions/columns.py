@@ -34,15 +34,15 @@ def make_cmp(c: ColumnLike) -> Column:
     return collapse_blanks(fold(strip_tags(c)))
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
-
-
 def nfkc(c: ColumnLike) -> Column:
     """Compatibility normalisation; plain ASCII does not leave the JVM's projection through Python."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
     c = _c(c)
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_nfkc(c))
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, c).otherwise(run(F.when(~plain, c)))
 
 
 def hira_to_kata(c: ColumnLike) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitextra.functions import columns as C
+from bitextra.functions.strings import find_bounded, fold
+from bitextra.operators.placement import SMALL
 
 
 def numbers(records: DataFrame) -> DataFrame:
@@ -31,20 +36,49 @@ def capital_words(records: DataFrame, glossary: DataFrame) -> DataFrame:
     return words.join(known, "w", "left_anti").select("id", "word")
 
 
-def terms(records: DataFrame, glossary: DataFrame, limit_rows: int = 100_000) -> DataFrame:
+def terms(records: DataFrame, glossary: DataFrame) -> DataFrame:
     """id, term_id, term, translation: terms of the source whose translation the target lacks, at word boundaries.
 
-    The glossary is broadcast; one of more than ``limit_rows`` entries is refused.  Entries without a term or
-    translation are left out.
+    The glossary travels with the tasks, behind a check of its size; all its terms are found in one pass over a text
+    where an Aho-Corasick automaton is at hand.  Entries without a term or translation are left out.
     """
-    if glossary.select("id").limit(limit_rows + 1).count() > limit_rows:
-        raise ValueError(f"glossaries of more than {limit_rows} entries are not broadcast")
-    g = glossary.select(F.col("id").alias("term_id"), "term", "translation").filter("term <> '' AND translation <> ''")
-    g = g.withColumns({"tf": C.fold("term"), "tp": C.bounded_pattern(C.fold("term")), "xf": C.fold("translation"), "xp": C.bounded_pattern(C.fold("translation"))})
-    r = records.select("id", C.fold("source").alias("s"), C.fold(F.coalesce("target", F.lit(""))).alias("t")).filter("s <> ''")
-    # plain containment first: the patterns run on the few pairs that are left
-    hit = r.join(F.broadcast(g), F.contains("s", F.col("tf"))).filter(F.regexp_like("s", F.col("tp")))
-    return hit.filter(~(F.contains("t", F.col("xf")) & F.regexp_like("t", F.col("xp")))).select("id", "term_id", "term", "translation")
+    rows = glossary.select("id", "term", "translation").filter("term <> '' AND translation <> ''").orderBy("id").limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"glossaries of more than {SMALL} entries do not travel with the tasks")
+    entries = [(r["id"], r["term"], r["translation"]) for r in rows]
+    kind = glossary.schema["id"].dataType.simpleString()
+    id_kind = records.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_term: dict[str, list[tuple]] = {}
+        for e in entries:
+            by_term.setdefault(fold(e[1]), []).append((*e, fold(e[2])))
+        find = _finder(list(by_term))
+        for b in batches:
+            out = []
+            for i, source, target in zip(b["id"], b["source"], b["target"]):
+                for term in find(fold(source)):
+                    if find_bounded(source, term) >= 0:
+                        out += [(i, e, t, x) for e, t, x, low in by_term[term] if find_bounded(target, low) < 0]
+            yield pd.DataFrame(out, columns=["id", "term_id", "term", "translation"])
+
+    texts = records.select("id", "source", F.coalesce("target", F.lit("")).alias("target")).filter("source <> ''")
+    return texts.mapInPandas(run, f"id {id_kind}, term_id {kind}, term string, translation string")
+
+
+def _finder(terms: list[str]) -> Callable[[str], set[str]]:
+    """Which of the terms a text holds."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {t for t in terms if t in text}
+    if not terms:
+        return lambda text: set()
+    machine = ahocorasick.Automaton()
+    for t in terms:
+        machine.add_word(t, t)
+    machine.make_automaton()
+    return lambda text: {t for _, t in machine.iter(text)}
 
 
 def check(records: DataFrame, glossary: DataFrame, number: bool = True, capitals: bool = True, glossary_terms: bool = True) -> DataFrame:

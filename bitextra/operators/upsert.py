@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bitextra.functions import columns as C
+from bitextra.scratch import materialize
 
 ADDED, COUNTED, EXISTS = "added", "refcount", "exists"
 
@@ -16,10 +20,8 @@ def numbered(df: DataFrame, after: int = 0, order: list[str | Column] | None = N
 
     Rows are numbered where they are, so nothing is gathered in one task.
     """
-    rows = df.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id()) if order is None else df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
-    from bitextra.scratch import materialize
-
-    rows = materialize(rows, "numbered")
+    rows = df if order is None else df.orderBy(*order)
+    rows = materialize(rows.withColumns({"__p": F.spark_partition_id(), "__n": F.monotonically_increasing_id()}), "numbered")
     sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"), F.min("__n").alias("__first"))
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(w), F.lit(0))).drop("__size")  # one row a partition
@@ -123,10 +125,6 @@ def first_by_form(glossary: DataFrame) -> DataFrame:
 
 def valid_rules(rules: DataFrame) -> DataFrame:
     """Rules with ``valid`` (the pattern compiles) and ``repeat`` (an earlier rule has the same pattern and template)."""
-    import re
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def compiles(s: pd.Series) -> pd.Series:
         def ok(p):
