@@ -93,8 +93,12 @@ def format_penalty(a: ColumnLike, b: ColumnLike) -> Column:
     return multiset_difference(opening_tags(a), opening_tags(b)) / F.lit(100.0)
 
 
+def _chars(c: ColumnLike) -> Column:
+    return F.filter(F.split(_c(c), ""), lambda x: x != "")
+
+
 def bag_distance(a: ColumnLike, b: ColumnLike) -> Column:
-    return multiset_difference(F.split(_c(a), ""), F.split(_c(b), ""))
+    return multiset_difference(_chars(a), _chars(b))
 
 
 def bag_common(a: ColumnLike, b: ColumnLike) -> Column:

@@ -130,37 +130,63 @@ def substring_score(term: str, text: str, least: float) -> float:
 
 
 _TOKEN_COST: dict[tuple[str, str], float] = {}
+_TOKEN_FLOOR: dict[tuple[str, str], float] = {}
+_KEPT = 500_000
 
 
 def _token_cost(a: str, b: str) -> float:
     """1 - edit score of two tokens; kept, as texts share their words."""
     cost = _TOKEN_COST.get((a, b))
     if cost is None:
-        if len(_TOKEN_COST) > 500_000:
+        if len(_TOKEN_COST) > _KEPT:
             _TOKEN_COST.clear()
         cost = _TOKEN_COST[a, b] = 1 - edit_score(a, b)
     return cost
 
 
+def _token_floor(a: str, b: str) -> float:
+    """A lower bound of the cost: characters that the other token lacks cannot stay."""
+    cost = _TOKEN_FLOOR.get((a, b))
+    if cost is None:
+        if len(_TOKEN_FLOOR) > _KEPT:
+            _TOKEN_FLOOR.clear()
+        x, y = set(a), set(b)
+        common = 0 if x.isdisjoint(y) else min(sum(c in y for c in a), sum(c in x for c in b))
+        cost = _TOKEN_FLOOR[a, b] = 1 - common / max(len(a), len(b))
+    return cost
+
+
+def _align(x: list[str], y: list[str], cost_of, most: float) -> float:
+    """Least cost of aligning two token lists; infinite once it must exceed ``most``."""
+    row = [float(i) for i in range(len(x) + 1)]
+    for j, t in enumerate(y, 1):
+        last, row[0] = row[0], float(j)
+        for i, s in enumerate(x, 1):
+            here = last if s == t else last + cost_of(s, t)
+            last = row[i]
+            if last + 1 < here:
+                here = last + 1
+            if row[i - 1] + 1 < here:
+                here = row[i - 1] + 1
+            row[i] = here
+        if min(row) > most:
+            return float("inf")
+    return row[-1]
+
+
 def word_score(a: str, b: str, least: float = 0.0, stop: bool = False) -> float:
     """Token alignment in which replacing a token costs as much as the two differ.
 
-    With ``stop``, 0 as soon as the score cannot reach ``least``.
+    With ``stop``, 0 as soon as the score cannot reach ``least``: a cheap bound of the costs comes first.
     """
     x, y = tokenize(a), tokenize(b)
     if not x or not y:
         return edit_score(a, b, least)
     h = max(len(x), len(y))
     most = h * (1 - least) + 1e-9 if stop else float("inf")
-    row = [float(i) for i in range(len(x) + 1)]
-    for j, t in enumerate(y, 1):
-        last, row[0] = row[0], float(j)
-        for i, s in enumerate(x, 1):
-            cost = 0.0 if s == t else _token_cost(s, t)
-            last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + cost)
-        if min(row) > most:
-            return 0.0
-    return max(0.0, min(1.0, (h - row[-1]) / h))
+    if stop and (abs(len(x) - len(y)) > most or _align(x, y, _token_floor, most) > most):
+        return 0.0
+    return max(0.0, min(1.0, (h - _align(x, y, _token_cost, most)) / h))
 
 
 def fuzzy_score(query: str, source: str, least: float) -> float:

@@ -36,11 +36,12 @@ def capital_words(records: DataFrame, glossary: DataFrame) -> DataFrame:
     return words.join(known, "w", "left_anti").select("id", "word")
 
 
-def terms(records: DataFrame, glossary: DataFrame) -> DataFrame:
+def terms(records: DataFrame, glossary: DataFrame, folded_edges: bool = False) -> DataFrame:
     """id, term_id, term, translation: terms of the source whose translation the target lacks, at word boundaries.
 
     The glossary travels with the tasks, behind a check of its size; all its terms are found in one pass over a text
-    where an Aho-Corasick automaton is at hand.  Entries without a term or translation are left out.
+    where an Aho-Corasick automaton is at hand.  A wide letter beside a term is no letter that runs on, unless
+    ``folded_edges``.  Entries without a term or translation are left out.
     """
     rows = glossary.select("id", "term", "translation").filter("term <> '' AND translation <> ''").orderBy("id").limit(SMALL + 1).collect()
     if len(rows) > SMALL:
@@ -57,7 +58,10 @@ def terms(records: DataFrame, glossary: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for i, source, target in zip(b["id"], b["source"], b["target"]):
-                for term in find(fold(source)):
+                found = find(fold(source))
+                if folded_edges:
+                    source, target = fold(source), fold(target)
+                for term in found:
                     if find_bounded(source, term) >= 0:
                         out += [(i, e, t, x) for e, t, x, low in by_term[term] if find_bounded(target, low) < 0]
             yield pd.DataFrame(out, columns=["id", "term_id", "term", "translation"])
@@ -81,7 +85,7 @@ def _finder(terms: list[str]) -> Callable[[str], set[str]]:
     return lambda text: {t for _, t in machine.iter(text)}
 
 
-def check(records: DataFrame, glossary: DataFrame, number: bool = True, capitals: bool = True, glossary_terms: bool = True) -> DataFrame:
+def check(records: DataFrame, glossary: DataFrame, number: bool = True, capitals: bool = True, glossary_terms: bool = True, folded_edges: bool = False) -> DataFrame:
     """id, type ('number', 'allcaps', 'glossary'), value, side, word, term, translation of all issues."""
     parts = []
     if number:
@@ -89,7 +93,7 @@ def check(records: DataFrame, glossary: DataFrame, number: bool = True, capitals
     if capitals:
         parts.append(capital_words(records, glossary).withColumn("type", F.lit("allcaps")))
     if glossary_terms:
-        parts.append(terms(records, glossary).drop("term_id").withColumn("type", F.lit("glossary")))
+        parts.append(terms(records, glossary, folded_edges).drop("term_id").withColumn("type", F.lit("glossary")))
     cols = ["id", "type", "value", "side", "word", "term", "translation"]
     text = lambda df: df.select("id", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols[1:]])
     if not parts:

@@ -39,11 +39,18 @@ def _buckets(length: Column, least: float) -> Column:
     return F.sequence(F.floor(low / BUCKET).cast("int"), F.floor(high / BUCKET).cast("int"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def length_candidates(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (q, s) of different forms whose lengths allow ``least``; ``queries`` has q, ``texts`` has s, both distinct."""
     q = queries.select("q", F.length("q").alias("ql"), F.explode(_buckets(F.length("q"), least)).alias("bucket"))
     q = q.select("q", "ql", "bucket", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     s = texts.select("s", F.length("s").alias("sl"), F.floor(F.length("s") / BUCKET).cast("int").alias("bucket"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int").alias("salt"))
+    # the pairs are many although the tables are small: keep the tasks that AQE would merge by their size
+    n = _tasks(queries)
+    q, s = q.repartition(n, "bucket", "salt"), s.repartition(n, "bucket", "salt")
     fits = F.least("ql", "sl") >= F.lit(float(least)) * F.greatest("ql", "sl")
     return q.join(s, ["bucket", "salt"]).filter(fits & (F.col("q") != F.col("s"))).select("q", "s")
 
@@ -108,7 +115,7 @@ def _word_scores(pairs: DataFrame, least: float) -> DataFrame:
             b["score"] = [S.fuzzy_score(q, s, least) for q, s in zip(b["q"], b["s"])]
             yield b[b["score"] > 0]
 
-    return pairs.mapInPandas(run, "q string, s string, score double")
+    return pairs.repartition(_tasks(pairs)).mapInPandas(run, "q string, s string, score double")
 
 
 def similar_texts(queries: DataFrame, texts: DataFrame, least: float, mode: str = "auto", blocking: str = "length") -> DataFrame:
@@ -177,7 +184,7 @@ def searched(queries: DataFrame, memory: DataFrame, least: float) -> DataFrame:
     """
     sizes = prepared(memory).filter("source_len IS NOT NULL").groupBy("source_len").agg(F.count(F.lit(1)).alias("n"))
     q = queries.select("query_id", F.length(C.make_cmp("query")).alias("ql"))
-    q = q.select("query_id", "ql", F.explode(F.sequence(F.floor(F.col("ql") * F.lit(float(least))), F.floor(F.col("ql") / F.lit(float(least))) + 1)).cast("int").alias("source_len"))
+    q = q.select("query_id", "ql", F.explode(F.sequence(F.floor(F.col("ql") * F.lit(float(least))).cast("int"), (F.floor(F.col("ql") / F.lit(float(least))) + 1).cast("int"))).alias("source_len"))
     return q.join(sizes, "source_len", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_searched"))
 
 

@@ -137,5 +137,6 @@ def valid_rules(rules: DataFrame) -> DataFrame:
         return s.map(ok)
 
     firsts = rules.groupBy("source_pattern", "target_template").agg(F.min("rule_id").alias("__first"))
-    out = rules.join(firsts, (rules["source_pattern"].eqNullSafe(firsts["source_pattern"])) & (rules["target_template"].eqNullSafe(firsts["target_template"])))
-    return out.select(*[rules[c] for c in rules.columns], compiles(rules["source_pattern"]).alias("valid"), (F.col("__first") < rules["rule_id"]).alias("repeat"))
+    r, f = rules.alias("r"), firsts.alias("f")
+    same = F.col("r.source_pattern").eqNullSafe(F.col("f.source_pattern")) & F.col("r.target_template").eqNullSafe(F.col("f.target_template"))
+    return r.join(f, same).select("r.*", "__first").select(*rules.columns, compiles("source_pattern").alias("valid"), (F.col("__first") < F.col("rule_id")).alias("repeat"))

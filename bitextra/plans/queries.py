@@ -7,7 +7,9 @@ they are tested against brute force and golden cases.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -440,7 +442,7 @@ _QC_TERMS = f"""SELECT r.id, g.id AS term_id, term, translation FROM (SELECT id,
 
 @query(_QC_TERMS)
 def qc_terms(spark, d):
-    return checks.terms(table(spark, d, "records"), table(spark, d, "glossary"))
+    return checks.terms(table(spark, d, "records"), table(spark, d, "glossary"), folded_edges=True)
 
 
 @query(
@@ -448,7 +450,7 @@ def qc_terms(spark, d):
     SELECT type, count(DISTINCT id) AS flagged, count(*) AS issues FROM u GROUP BY type"""
 )
 def qc_totals(spark, d):
-    return checks.totals(checks.check(table(spark, d, "records"), table(spark, d, "glossary")))
+    return checks.totals(checks.check(table(spark, d, "records"), table(spark, d, "glossary"), folded_edges=True))
 
 
 # find and replace
@@ -578,11 +580,6 @@ def pln_selection(spark, d):
     return planner.selection_plan(_statuses(spark, d, False))
 
 
-@query()
-def pln_selection_summary(spark, d):
-    return planner.selection_summary(planner.selection_plan(_statuses(spark, d, False)))
-
-
 @query()
 def pln_walk(spark, d):
     return planner.walk_stops(_statuses(spark, d, True), 2)
@@ -595,18 +592,15 @@ def pln_actions(spark, d):
     return planner.actions(plan).join(planner.landing_rows(plan, planner.walk_stops(s, 2), 2), "sheet_id")
 
 
-@query()
-def pln_undo(spark, d):
-    return planner.undo(planner.actions(planner.selection_plan(_statuses(spark, d, False))))
-
-
 # exchange formats: written and read again
 
 
 def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, which for these formats must be a mounted file system."""
     base = shared_dir(spark)
-    base = base[7:] if base.startswith("file://") else base[5:] if base.startswith("file:") else tempfile.mkdtemp(prefix="bitextra-")
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base) if tempfile.os.path.isdir(base) else tempfile.mkdtemp(prefix=f"{name}-")
+    base = base[7:] if base.startswith("file://") else base[5:] if base.startswith("file:") else base
+    os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
 
 
 _BOTH = "source IS NOT NULL AND target IS NOT NULL AND source <> '' AND target <> ''"
@@ -649,7 +643,7 @@ def io_tsv(spark, d):
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    to = f"{shared_dir(spark)}/stream-{name}-{tempfile.mktemp(prefix='', dir='')}"
+    to = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
     q = stream.writeStream.format("parquet").option("path", to).option("checkpointLocation", f"{to}-state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(to)

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``; only where the session has none (tests, a laptop) a local one is made
-and set.  Tables written here survive the loss of an executor, unlike cached or locally checkpointed blocks.
+The folder is ``spark.checkpoint.dir``; only where the session has none (tests, a laptop) a local one is made.
+Tables written here survive the loss of an executor, unlike cached blocks.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: folders made for applications whose session names none
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where the session names none."""
+    """The cluster's shared folder, or a local one of our own where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="bitextra-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="bitextra-")
+        _own[app] = base
     return base.rstrip("/")
 
 

@@ -15,7 +15,7 @@ def _raw(spark: SparkSession, path: str, header: bool, columns: int) -> DataFram
 
 
 def _trim(c: str):
-    return F.regexp_replace(F.coalesce(F.regexp_replace(c, "^\\x{FEFF}", ""), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def read_tsv(spark: SparkSession, path: str, source_col: int = 0, target_col: int = 1, header: bool = True, both: bool = False) -> DataFrame:
