@@ -215,9 +215,12 @@ def char_class(c: str) -> str:
     return "L" if c.isascii() and c.isalpha() else "D" if c.isascii() and c.isdigit() else "O"
 
 
-def find_bounded(text: str, folded: str, start: int = 0) -> int:
-    """First place of a folded term in ``text`` whose letter or digit edges do not run on; -1 if none."""
-    low = fold(text)
+def find_bounded(text: str, folded: str, start: int = 0, low: str | None = None) -> int:
+    """First place of a folded term in ``text`` whose letter or digit edges do not run on; -1 if none.
+
+    ``low`` is the folded text, where it is at hand.
+    """
+    low = fold(text) if low is None else low
     at = low.find(folded, start)
     if not folded:
         return at

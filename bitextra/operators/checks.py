@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bitextra.functions import columns as C
 from bitextra.functions.strings import find_bounded, fold
 from bitextra.operators.placement import SMALL
+from bitextra.scratch import spread
 
 
 def numbers(records: DataFrame) -> DataFrame:
@@ -58,15 +59,15 @@ def terms(records: DataFrame, glossary: DataFrame, folded_edges: bool = False) -
         for b in batches:
             out = []
             for i, source, target in zip(b["id"], b["source"], b["target"]):
-                found = find(fold(source))
+                s, t = fold(source), fold(target)
                 if folded_edges:
-                    source, target = fold(source), fold(target)
-                for term in found:
-                    if find_bounded(source, term) >= 0:
-                        out += [(i, e, t, x) for e, t, x, low in by_term[term] if find_bounded(target, low) < 0]
+                    source, target = s, t
+                for term in find(s):
+                    if find_bounded(source, term, 0, s) >= 0:
+                        out += [(i, e, name, x) for e, name, x, low in by_term[term] if low not in t or find_bounded(target, low, 0, t) < 0]
             yield pd.DataFrame(out, columns=["id", "term_id", "term", "translation"])
 
-    texts = records.select("id", "source", F.coalesce("target", F.lit("")).alias("target")).filter("source <> ''")
+    texts = spread(records.select("id", "source", F.coalesce("target", F.lit("")).alias("target")).filter("source <> ''"))
     return texts.mapInPandas(run, f"id {id_kind}, term_id {kind}, term string, translation string")
 
 

@@ -18,8 +18,11 @@ from pyspark.sql.window import Window
 
 from bitextra.functions import columns as C
 from bitextra.functions import strings as S
+from bitextra.scratch import spread
 
 BUCKET, SALTS = 8, 16
+#: rows that a Python task hands back at once
+_CHUNK = 50_000
 #: columns of a memory that results carry
 CARRIED = ("id", "source", "target", "context", "reliability", "validated", "refcount")
 
@@ -88,6 +91,9 @@ def segment_candidates(queries: DataFrame, texts: DataFrame, least: float) -> Da
                         lo = max(0, at - k, at + (n - sl) - (d - k))
                         hi = min(n - size, at + k, at + (n - sl) + (d - k))
                         out += [(q, sl, d, k, seg) for seg in {q[p : p + size] for p in range(lo, hi + 1)}]
+                    if len(out) > _CHUNK:
+                        yield pd.DataFrame(out, columns=["q", "sl", "d", "k", "seg"])
+                        out = []
             yield pd.DataFrame(out, columns=["q", "sl", "d", "k", "seg"])
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,10 +108,13 @@ def segment_candidates(queries: DataFrame, texts: DataFrame, least: float) -> Da
                     if d not in done:
                         done.add(d)
                         out += [(s, n, d, k, s[a : a + size]) for k, (a, size) in enumerate(spans)]
+                if len(out) > _CHUNK:
+                    yield pd.DataFrame(out, columns=["s", "sl", "d", "k", "seg"])
+                    out = []
             yield pd.DataFrame(out, columns=["s", "sl", "d", "k", "seg"])
 
-    left = queries.select("q").mapInPandas(probes, "q string, sl int, d int, k int, seg string")
-    right = texts.select("s").mapInPandas(segments, "s string, sl int, d int, k int, seg string")
+    left = spread(queries.select("q")).mapInPandas(probes, "q string, sl int, d int, k int, seg string")
+    right = spread(texts.select("s")).mapInPandas(segments, "s string, sl int, d int, k int, seg string")
     return left.join(right, ["sl", "d", "k", "seg"]).filter("q <> s").select("q", "s").distinct()
 
 

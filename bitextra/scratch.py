@@ -36,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores: a small file may be one task, however much work a row is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps partitions and the order of rows inside them."""
     sc = df.sparkSession.sparkContext
