@@ -4,7 +4,7 @@ Likeness is the Jaccard index of the sets of three-character runs of the bare fo
 hashing over a fingerprint of min-hash symbols:
 
 1. Each distinct (bare source, bare target) gets 36 one-byte min-hash symbols, half from either side, in 6 segments
-   of 6 symbols, and a 128-bit sketch of one-bit min-hashes.
+   of 6 symbols, and a 256-bit sketch of one-bit min-hashes.
 2. Within each segment the Hamming ball of radius one (over symbols) is enumerated as its six neighbourhoods with
    one symbol left open; equal keys in one table are what the ball probes would fetch.
 3. A fetched pair goes on if its complete sketches are within ``MAX_BITS`` bits; this runs inside the join.
@@ -18,6 +18,7 @@ measured recall is above 0.99 (see the README).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,13 @@ from bitextra.scratch import materialize
 
 THRESHOLD, MIN_CHARS = 0.7, 30
 SEGMENTS, SYMBOLS = 6, 6
-#: expected distance of the 128-bit sketches is 19.2 with deviation 4 at likeness 0.7 on both sides, 16 with 3.7 at 0.75
-#: and 38 with 5.2 at 0.4, where most chance hits are
-MAX_BITS = 28
+#: bits of the sketch, half from either side, in words of 64
+SKETCH = 256
+WORDS = [f"b{i}" for i in range(SKETCH // 64)]
+#: expected distance of the sketches at likeness 0.7 on both sides is 38.4 with deviation 5.7: 60 loses 1 pair in 7,000
+#: there; at 0.4, where most chance hits are, it is 77 with 7.3.  A shorter sketch needs a bound that loses pairs to
+#: leave as few chance hits
+MAX_BITS = 60
 _ROWS = 1024
 
 
@@ -75,11 +80,11 @@ def minima(texts: list[str], n: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(sources: list[str], targets: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Segments (48 bits each) and the two 64-bit halves of the sketch."""
+    """Segments (48 bits each) and the 64-bit words of the sketch."""
     half = SYMBOLS // 2
     sides = []
     for seed, texts in ((1, sources), (1, targets)):
-        m = _mix(minima(texts, SEGMENTS * half + 64, seed))
+        m = _mix(minima(texts, SEGMENTS * half + SKETCH // 2, seed))
         sides.append(((m[: SEGMENTS * half] >> np.uint32(24)).astype(np.int64), (m[SEGMENTS * half :] & np.uint32(1)).astype(np.uint64)))
     segments = []
     for s in range(SEGMENTS):
@@ -89,7 +94,8 @@ def fingerprints(sources: list[str], targets: list[str]) -> tuple[list[np.ndarra
                 code = (code << 8) | symbols[s * half + k]
         segments.append(code)
     shift = np.arange(64, dtype=np.uint64)[:, None]
-    return segments, [(bits << shift).sum(0, dtype=np.uint64).view(np.int64) for _, bits in sides]
+    words = [bits[k : k + 64] for _, bits in sides for k in range(0, SKETCH // 2, 64)]
+    return segments, [(bits << shift).sum(0, dtype=np.uint64).view(np.int64) for bits in words]
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         if b.num_rows:
             segments, sketch = fingerprints(b["s"].to_pylist(), b["t"].to_pylist())
             cols = [b["id"], b["h1"], b["h2"], b["lettered"], *map(pa.array, segments), *map(pa.array, sketch)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2", "lettered", *[f"g{i}" for i in range(SEGMENTS)], "b0", "b1"])
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2", "lettered", *[f"g{i}" for i in range(SEGMENTS)], *WORDS])
 
 
 def eligible(records: DataFrame) -> DataFrame:
@@ -150,9 +156,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """a, b (a < b): class representatives whose fingerprints share a ball key and whose whole sketches are close."""
-    keys = classes.select(ball_keys().alias("key"), "rep", "b0", "b1")
+    keys = classes.select(ball_keys().alias("key"), "rep", *WORDS)
     left, right = keys.alias("l"), keys.alias("r")
-    far = F.bit_count(F.col("l.b0").bitwiseXOR(F.col("r.b0"))) + F.bit_count(F.col("l.b1").bitwiseXOR(F.col("r.b1")))
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in WORDS])
     hit = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (far <= MAX_BITS))
     return hit.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
@@ -161,9 +167,9 @@ def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     h1, h2 = hash128(F.col("s"), F.col("t"))
     texts = eligible(records).select("id", h1.alias("h1"), h2.alias("h2"), (has_letter("s") & has_letter("t")).alias("lettered"), "s", "t")
     id_type = records.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, h1 bigint, h2 bigint, lettered boolean, " + ", ".join(f"g{i} bigint" for i in range(SEGMENTS)) + ", b0 bigint, b1 bigint"
+    schema = f"id {id_type}, h1 bigint, h2 bigint, lettered boolean, " + ", ".join(f"{c} bigint" for c in (*[f"g{i}" for i in range(SEGMENTS)], *WORDS))
     prints = materialize(texts.mapInArrow(_fingerprint_batches, schema), "fingerprints")
-    rest = ["lettered", *[f"g{i}" for i in range(SEGMENTS)], "b0", "b1"]
+    rest = ["lettered", *[f"g{i}" for i in range(SEGMENTS)], *WORDS]
     classes = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in rest])
     return prints.select("id", "h1", "h2"), materialize(classes, "classes")
 

@@ -103,6 +103,21 @@ def test_fingerprints_find_alike_texts():
     assert abs((m[:, 0] == m[:, 1]).mean() - near.likeness(a, b)) < 0.05
 
 
+def test_sketch_bound_keeps_pairs_at_the_threshold():
+    """Of pairs just above 0.7 on both sides the sketch distance loses hardly any."""
+    rng = random.Random(3)
+
+    def sides(n):
+        texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(102)) for _ in range(n)]
+        return texts, [t[:85] + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(17)) for t in texts]
+
+    (s1, s2), (t1, t2) = sides(3000), sides(3000)
+    assert all(near.THRESHOLD <= near.likeness(a, b) < 0.72 for a, b in zip(s1 + t1, s2 + t2))
+    one, two = near.fingerprints(s1, t1)[1], near.fingerprints(s2, t2)[1]
+    far = [sum((x ^ y).bit_count() for x, y in zip(p, q)) for p, q in zip(zip(*[w.view("u8").tolist() for w in one]), zip(*[w.view("u8").tolist() for w in two]))]
+    assert sum(d > near.MAX_BITS for d in far) <= 3
+
+
 @pytest.mark.parametrize(
     "stored, look",
     [
