@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextra.functions.forms import bare
+from bitextra.functions.forms import bare, has_letter
 from bitextra.llm.looks import look
 
 #: bound of the labelled rows that profiles are fitted on
@@ -58,15 +58,20 @@ def label_language(label: Column) -> Column:
     return F.try_element_at(known, head)
 
 
-def passages(text: str) -> list[str]:
-    """Sentences of ``text`` in comparable form: lower-cased letters, everything else one blank."""
+def passages(text: str, quoted: bool = False) -> list[str]:
+    """Sentences of ``text`` in comparable form: lower-cased letters, everything else one blank.
+
+    With ``quoted``, a text that has letters only in quoted labels is read with these.
+    """
     if not text.isascii() and _ODD.search(text):
         text = look(text)
     if not _MARKED.isdisjoint(text):
         text = _TAGS.sub(" ", text)
     if not _QUOTES.isdisjoint(text):
         # a quotation that is as long as a sentence is a passage, a short one a label
-        text = _QUOTED.sub(lambda m: m[0] if len(m[0]) > _QUOTE_MIN and m[0][-2] in ".!?。！？" else " ", text)
+        told = _QUOTED.sub(lambda m: m[0] if len(m[0]) > _QUOTE_MIN and m[0][-2] in ".!?。！？" else " ", text)
+        if not quoted or _GAP.sub("", told):
+            text = told
     out = (_GAP.sub(" ", piece).strip() for piece in _CUT.split(text.lower()) if piece)
     return [piece for piece in out if piece]
 
@@ -168,13 +173,27 @@ MIN_MARGIN = 0.1
 SHORT, SHORT_MARGIN = 60, 0.16
 #: a label holds unless the main language is nearer by this share
 LABEL_MARGIN = 0.02
+#: the same for texts under ``MIN_BARE`` letters, which tell little
+SHORT_LABEL_MARGIN = 0.16
+
+
+_KANA, _HAN, _HANGUL, _LETTER = (re.compile(x) for x in ("[぀-ヿ]", "[㐀-鿿]", "[가-힣]", r"[^\W\d_]"))
+
 
+def _barred(text: str) -> list[bool]:
+    """For each of ``LANGS``, if a text of these letters cannot be in it by its script."""
+    kana, han, hangul, all_ = (len(x.findall(text)) for x in (_KANA, _HAN, _HANGUL, _LETTER))
+    if (kana + han + hangul) * 3 < all_:
+        return [lang in ("ja", "ko", "zh") for lang in LANGS]
+    fit = ("ko",) if hangul > kana + han else ("ja",) if kana else ("ja", "zh")
+    return [lang not in fit for lang in LANGS]
 
-def _pieces(text: str) -> list[str]:
+
+def _pieces(text: str, quoted: bool) -> list[str]:
     """Passages long enough to tell; short ones join the one before (the first, the one after)."""
     out: list[str] = []
     held = ""
-    for p in passages(text):
+    for p in passages(text, quoted):
         p = f"{held} {p}" if held else p
         if _weight(p) < MIN_WEIGHT:
             held = p
@@ -188,9 +207,16 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
-def languages(texts: list[str], profiles: Profiles, labels: list[str | None] | None = None) -> list[list[tuple[str, float, int]]]:
-    """For each text its passages in order: (language, confidence, letters). ``labels`` settle what is almost even."""
-    split = [_pieces(t) for t in texts]
+def languages(
+    texts: list[str], profiles: Profiles, labels: list[str | None] | None = None, short: bool = False
+) -> list[list[tuple[str | None, float, int]]]:
+    """For each text its passages in order: (language, confidence, letters). ``labels`` settle what is almost even.
+
+    A passage under ``MIN_WEIGHT`` is as much less sure as it is shorter.  The language of a text without label and
+    without any run that a profile has is null.  With ``short``, texts under ``MIN_BARE`` letters are judged with more
+    weight on script and label, and texts of quoted labels alone by these.
+    """
+    split = [_pieces(t, short) for t in texts]
     flat = [p for pieces in split for p in pieces]
     if not flat or not profiles.langs:
         return [[] for _ in texts]
@@ -200,15 +226,26 @@ def languages(texts: list[str], profiles: Profiles, labels: list[str | None] | N
     d = profiles.distances(flat)
     some = np.flatnonzero(n)
     starts = (np.cumsum(n) - n)[some]
+    letters = np.add.reduceat(size, starts)
+    little = letters < (MIN_BARE if short else 0)
+    for k in np.flatnonzero(little).tolist():
+        at = slice(starts[k], starts[k] + n[some[k]])
+        barred = dict(zip(LANGS, _barred(" ".join(flat[at]))))
+        d[at, [j for j, lang in enumerate(profiles.langs) if barred[lang]]] = 2.0
     total = np.add.reduceat(d * size[:, None], starts, axis=0)
     main = total.argmin(1)
+    # no run is known, nor does the script leave a single language
+    blind = (total.min(1) >= letters) & ((total <= letters[:, None]).sum(1) != 1)
     if labels:
         index = {lang: k for k, lang in enumerate(profiles.langs)}
         label = np.array([index.get(lab, -1) for lab in labels], np.int64)[some]
         row = np.arange(len(some))
         told = total[row, label]
-        main = np.where((label >= 0) & (told - total[row, main] < LABEL_MARGIN * told), label, main)
-    main = np.repeat(main, n[some])
+        margin = np.where(little, SHORT_LABEL_MARGIN, LABEL_MARGIN)
+        held = (label >= 0) & (told - total[row, main] < margin * told)
+        main = np.where(held, label, main)
+        blind &= ~held
+    main, blind = np.repeat(main, n[some]), np.repeat(blind, n[some])
     row = np.arange(len(flat))
     best = d.argmin(1)
     least = np.where(weight >= SHORT, MIN_MARGIN, SHORT_MARGIN)
@@ -216,8 +253,8 @@ def languages(texts: list[str], profiles: Profiles, labels: list[str | None] | N
     chosen = d[row, best]
     d[row, best] = np.inf
     rest = np.minimum(d.min(1), 1.0)
-    sure = np.maximum(0.0, (rest - chosen) / np.maximum(rest, 1e-9))
-    rows = list(zip([profiles.langs[k] for k in best.tolist()], sure.tolist(), size.tolist()))
+    sure = np.maximum(0.0, (rest - chosen) / np.maximum(rest, 1e-9)) * np.minimum(weight / MIN_WEIGHT, 1.0)
+    rows = list(zip([None if no else profiles.langs[k] for k, no in zip(best.tolist(), blind.tolist())], sure.tolist(), size.tolist()))
     out, at = [], 0
     for k in n.tolist():
         out.append(rows[at : at + k])
@@ -225,17 +262,20 @@ def languages(texts: list[str], profiles: Profiles, labels: list[str | None] | N
     return out
 
 
-def _sides(records: DataFrame) -> DataFrame:
-    """id, source, target (null where too short to judge) and the labels' languages."""
-    long = {k: F.length(bare(k)) >= MIN_BARE for k in ("source", "target")}
+def _sides(records: DataFrame, least: int) -> DataFrame:
+    """id, source, target (null without a letter or with a bare form under ``least``) and the labels' languages."""
+    judged = {k: F.length(bare(k)) >= least if least else has_letter(k) for k in ("source", "target")}
     return records.select(
-        "id", *[F.when(long[k], F.col(k)).alias(k) for k in long],
+        "id", *[F.when(judged[k], F.col(k)).alias(k) for k in judged],
         label_language(F.col("src_lang")).alias("source_label"), label_language(F.col("tgt_lang")).alias("target_label"),
     ).filter(F.col("source").isNotNull() | F.col("target").isNotNull())
 
 
-def _detect(records: DataFrame, samples: DataFrame, rows, schema: str) -> DataFrame:
-    """Run ``rows(passages, label)`` -> list of tuples over every judged side; the profiles travel with the tasks."""
+def _detect(records: DataFrame, samples: DataFrame, rows, schema: str, least: int = 0) -> DataFrame:
+    """Run ``rows(passages, label)`` -> list of tuples over every judged side; the profiles travel with the tasks.
+
+    Sides with a bare form under ``least`` are not judged; without such a floor every side with a letter is.
+    """
     profiles = fit(samples)
     id_type = records.schema["id"].dataType.simpleString()
     names = ["id", "side", *[c.split()[0] for c in schema.split(", ")]]
@@ -246,18 +286,18 @@ def _detect(records: DataFrame, samples: DataFrame, rows, schema: str) -> DataFr
                 ids, texts, labels = b["id"].to_pylist(), b[side].to_pylist(), b[f"{side}_label"].to_pylist()
                 # copies are judged once
                 distinct = {(t, lab): None for t, lab in zip(texts, labels) if t is not None}
-                found = dict(zip(distinct, languages([t for t, _ in distinct], profiles, [lab for _, lab in distinct])))
+                found = dict(zip(distinct, languages([t for t, _ in distinct], profiles, [lab for _, lab in distinct], not least)))
                 out = [(i, side, *r) for i, t, lab in zip(ids, texts, labels) if t is not None for r in rows(found[t, lab], lab)]
                 cols = list(zip(*out)) if out else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[t.split()[-1]] for t in (f"id {id_type}", "side string", *schema.split(", "))]
-    return _sides(records).mapInArrow(run, f"id {id_type}, side string, {schema}")
+    return _sides(records, least).mapInArrow(run, f"id {id_type}, side string, {schema}")
 
 
-def _present(found: list[tuple[str, float, int]]) -> list[tuple[str, float]]:
+def _present(found: list[tuple[str | None, float, int]]) -> list[tuple[str | None, float]]:
     """Languages with their confidence: the surest passage of each."""
-    best: dict[str, float] = {}
+    best: dict[str | None, float] = {}
     for lang, sure, _ in found:
         best[lang] = max(best.get(lang, 0.0), sure)
     return list(best.items())
@@ -270,19 +310,19 @@ def mislabelled(records: DataFrame, samples: DataFrame) -> DataFrame:
     """
 
     def rows(found, label):
-        langs = {lang for lang, _, _ in found}
+        langs = {lang for lang, _, _ in found if lang}
         return [] if langs == {label} else [(lang,) for lang in sorted(langs)]
 
-    return _detect(records, samples, rows, "lang string")
+    return _detect(records, samples, rows, "lang string", MIN_BARE)
 
 
 def record_languages(records: DataFrame, samples: DataFrame) -> DataFrame:
-    """id, side, label, lang, confidence: every judged side with each of its languages."""
+    """id, side, label, lang, confidence: every side with a letter outside tags and placeholders, with each of its languages."""
     return _detect(records, samples, lambda found, label: [(label, lang, sure) for lang, sure in _present(found)], "label string, lang string, confidence double")
 
 
 def record_passages(records: DataFrame, samples: DataFrame) -> DataFrame:
-    """id, side, passage, lang, letters, confidence: every passage of each judged side, numbered from 0."""
+    """id, side, passage, lang, letters, confidence: every passage of each such side, short ones too, numbered from 0."""
     return _detect(
         records, samples, lambda found, _: [(k, lang, size, sure) for k, (lang, sure, size) in enumerate(found)],
         "passage int, lang string, letters int, confidence double",

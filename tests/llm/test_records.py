@@ -176,3 +176,16 @@ def test_mislabelled(spark, samples):
     assert [r["lang"] for r in spoken] == ["de", "en"] and all(r["confidence"] > 0 for r in spoken)
     assert langid.mislabelled(table(spark, *rows).limit(0), samples).count() == 0
     assert langid.record_languages(table(spark, *rows), samples).filter("id = 1").count() == 2
+
+
+def test_short_sides_have_a_language(spark, samples):
+    rows = [
+        dict(id=1, source="Open file", target="ファイルを開く", src_lang="en", tgt_lang=None), dict(id=2, source="「保存する」", target="파일 열기", src_lang="en", tgt_lang="und"),
+        dict(id=3, source="12", target="<b>{0}</b>"), dict(id=4, source=None, target=" "), dict(id=5, source="Ж", target="<b>诺纳普萨兹</b> Lv.58", tgt_lang="zh"),
+    ]
+    df = table(spark, *rows)
+    got = {(r["id"], r["side"]): r for r in langid.record_languages(df, samples).collect()}
+    assert {k: r["lang"] for k, r in got.items()} == {(1, "source"): "en", (1, "target"): "ja", (2, "source"): "ja", (2, "target"): "ko", (5, "source"): None, (5, "target"): "zh"}
+    assert all(0 <= r["confidence"] < 1 for r in got.values()) and got[5, "source"]["confidence"] == 0
+    assert {(r["id"], r["side"]) for r in langid.record_passages(df, samples).collect()} == set(got)
+    assert langid.mislabelled(df, samples).count() == 0
