@@ -141,12 +141,17 @@ class Profiles:
         # runs in no profile count the full penalty for every language alike, so they are left out
         key = np.sort((owner[at >= 0] << 13) | at[at >= 0])
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        counts = np.minimum(np.diff(np.r_[first, len(key)]), 127)
+        counts = np.diff(np.r_[first, len(key)])
         key = key[first]
+        if counts.max(initial=0) > 127:
+            # only their order counts: far fewer bits for very long pieces
+            counts = np.unique(counts, return_inverse=True)[1]
+        top = int(counts.max(initial=0))
+        width = 22 + top.bit_length()
         # by piece, then falling count, then place in the profiles
-        order = ((key >> 13) << 30) | ((127 - counts) << 22) | (self.prior[key & 8191] << 13) | (key & 8191)
+        order = ((key >> 13) << width) | ((top - counts) << 22) | (self.prior[key & 8191] << 13) | (key & 8191)
         order.sort()
-        owner, at = order >> 30, order & 8191
+        owner, at = order >> width, order & 8191
         size = np.bincount(owner, minlength=n)
         some = np.flatnonzero(size)
         starts = (np.cumsum(size) - size)[some]

@@ -1,5 +1,6 @@
 """Record operations against brute force, with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import collections
 import itertools
 import random
 import re
@@ -189,3 +190,20 @@ def test_short_sides_have_a_language(spark, samples):
     assert all(0 <= r["confidence"] < 1 for r in got.values()) and got[5, "source"]["confidence"] == 0
     assert {(r["id"], r["side"]) for r in langid.record_passages(df, samples).collect()} == set(got)
     assert langid.mislabelled(df, samples).count() == 0
+
+
+def test_distances_of_a_long_piece():
+    """Runs are ranked by their counts however often they occur."""
+    rng = random.Random(7)
+    profiles = langid.Profiles([("en", "the small harbour keeps its lantern lit before the night falls over it"), ("de", "der kleine hafen hat seine laterne vor der nacht angezündet")])
+    words = "the lantern hafen keeps nacht der over small it".split()
+    pieces = [" ".join(rng.choices(words, weights=range(9, 0, -1), k=4000)), "the lantern der"]
+    want = []
+    for p in pieces:
+        codes = langid._runs([p])[1].tolist()
+        at = profiles._find(langid.np.array(codes))
+        counts = collections.Counter(k for k in at.tolist() if k >= 0)
+        ranked = sorted(counts, key=lambda k: (-counts[k], profiles.prior[k], k))
+        off = [[langid.PLACES if r == langid.PLACES else abs(min(i, langid.PLACES) - r) for r in profiles.ranks[k].tolist()] for i, k in enumerate(ranked)]
+        want.append([sum(col) / (len(ranked) * langid.PLACES) for col in zip(*off)])
+    assert max(counts.values()) < 127 and profiles.distances(pieces) == pytest.approx(langid.np.array(want))
