@@ -1,9 +1,11 @@
 """Text figures of each document, and whether it is running prose or a list, table or junk.
 
-A document is cut into blocks: list entries, table rows and markup residue are told by their layout, everything else
-is joined to running blocks (hard-wrapped lines belong together).  A block's function-word distribution and its
-character-class distribution are compared to each language's prose profile and to the profiles of text without
-sentences (entries, figures, symbols) through Jensen-Shannon divergence; the nearest profile names the block.
+A document is cut into blocks: list entries, table rows, markup and data residue are told by layout rules, not by
+profiles; everything else is joined to running blocks (hard-wrapped lines belong together).  Of these, repeated words,
+few letters and short enumerations are again told by rules.  For the others, function words and character classes are
+compared through Jensen-Shannon divergence to each language's prose profile and to a text with the block's own classes
+but no function words and no punctuation; the nearer decides only between prose and not prose.  Which of list or junk
+text that is not prose becomes is a rule; there are no profiles of lists, tables or junk.
 A document is prose if at least half of its non-blank characters are.
 
 Prose profiles come from the common-word table and at most ``MAX_SAMPLES`` labelled samples.  The figures are null for
