@@ -36,7 +36,7 @@ def prepared(memory: DataFrame, normalizer: str = "fold") -> DataFrame:
 
 def _buckets(length: Column, least: float) -> Column:
     if least <= 0:
-        return F.sequence(F.lit(0), F.lit(4096))
+        return F.array(F.lit(0))
     low = F.floor(length * F.lit(float(least)))
     high = F.floor(length / F.lit(float(least))) + 1
     return F.sequence(F.floor(low / BUCKET).cast("int"), F.floor(high / BUCKET).cast("int"))
@@ -47,10 +47,13 @@ def _tasks(df: DataFrame) -> int:
 
 
 def length_candidates(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (q, s) of different forms whose lengths allow ``least``; ``queries`` has q, ``texts`` has s, both distinct."""
+    """Pairs (q, s) of different forms whose lengths allow ``least``; ``queries`` has q, ``texts`` has s, both distinct.
+
+    With ``least`` of 0 or less every length is allowed, so only the salt spreads the pairs.
+    """
     q = queries.select("q", F.length("q").alias("ql"), F.explode(_buckets(F.length("q"), least)).alias("bucket"))
     q = q.select("q", "ql", "bucket", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    s = texts.select("s", F.length("s").alias("sl"), F.floor(F.length("s") / BUCKET).cast("int").alias("bucket"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int").alias("salt"))
+    s = texts.select("s", F.length("s").alias("sl"), (F.floor(F.length("s") / BUCKET) if least > 0 else F.lit(0)).cast("int").alias("bucket"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int").alias("salt"))
     # the pairs are many although the tables are small: keep the tasks that AQE would merge by their size
     n = _tasks(queries)
     q, s = q.repartition(n, "bucket", "salt"), s.repartition(n, "bucket", "salt")

@@ -166,3 +166,9 @@ def test_placement_tables(spark):
     assert rows[1]["target"] == "Light damage" and rows[1]["covered"] and rows[2]["covered"] is None
     assert placement.place_terms(df, terms).filter("placed").count() == 1
     assert placement.highlight(df).filter("query_html IS NULL").count() == 1
+
+
+def test_no_least_score_reaches_long_texts(spark):
+    texts = spark.createDataFrame([("a" * 40_000,), ("b",), ("abc",)], "s string")
+    got = lookup.length_candidates(spark.createDataFrame([("abc",)], "q string"), texts, 0.0).collect()
+    assert sorted(len(r["s"]) for r in got) == [1, 40_000]
