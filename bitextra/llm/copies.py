@@ -65,6 +65,10 @@ def _ranked_keys(records: DataFrame, memories: DataFrame, *keep: Column) -> Data
     keys = copy_keys(records, *rank, *keep)
     keys = keys.join(clock, keys["memory"] == clock["_m"], "left")
     keys = with_interpretations(keys, "modified", "_r", F.col("_tz"), F.col("_o"))
+    for c in [c for c in ("x_created", "x_modified") if c in keys.columns]:
+        # an unreadable time is a gap
+        keys = with_interpretations(keys, c, "_r2", F.col("_tz"), F.col("_o"))
+        keys = keys.withColumn(c, F.when(declared_instant(F.col("_r2")).isNotNull(), F.col(c))).drop("_r2")
     return keys.select(
         *KEY, "id",
         F.coalesce("validated", F.lit(False)).alias("valid"),
@@ -94,20 +98,39 @@ def survivors(records: DataFrame, memories: DataFrame) -> DataFrame:
 def golden(records: DataFrame, memories: DataFrame) -> DataFrame:
     """One row per group of two or more: the surviving record, with its gaps filled from the other copies.
 
-    group_id, id, copies, refcount_sum, source, target, context, created_by, modified_by.  A null or blank context,
-    created_by or modified_by is taken from the best-ranked copy that has one; source and target are the survivor's.
+    group_id, copies, refcount_sum and the columns of a record.  source and target are the survivor's; of every other
+    column a null, blank, undetermined, unreadable or out-of-range value is a gap and comes from the best-ranked copy
+    that has one.  A crosswise copy gives its labels swapped, and no comparison text, as its own is of the other side.
     """
-    fields = ("context", "created_by", "modified_by")
-    keep = [F.when(F.trim(F.col(c)) != "", F.col(c)).alias(f"x_{c}") for c in fields]
-    keys = materialize(_ranked_keys(records, memories, *keep), "golden-keys")
-    groups = keys.groupBy(*KEY).agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum("refs"), F.lit(0)).alias("refcount_sum")).filter("copies > 1")
-
-    def top(frame: DataFrame, *cols: str) -> DataFrame:
-        w = Window.partitionBy(*KEY).orderBy(*_order())
-        return frame.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(*KEY, *cols)
-
-    out = groups.join(top(keys, "id"), KEY)
-    for c in fields:
-        out = out.join(top(keys.filter(F.col(f"x_{c}").isNotNull()), f"x_{c}"), KEY, "left")
+
+    def told(c: str) -> Column:
+        return F.when(F.trim(F.col(c)) != "", F.col(c))
+
+    def label(c: str) -> Column:
+        return F.when(~F.lower(F.trim(F.col(c))).isin("", "und", "undetermined"), F.col(c))
+
+    ahead = bare("source") <= bare("target")
+    values = {c: told(c) for c in ("memory", "context", "created", "modified", "created_by", "modified_by")}
+    values |= {"reliability": F.when(F.col("reliability").between(0, 9), F.col("reliability")), "validated": F.col("validated"), "refcount": F.col("refcount"), "ingested": F.col("ingested")}
+    values |= {"low_lang": F.when(ahead, label("src_lang")).otherwise(label("tgt_lang")), "high_lang": F.when(ahead, label("tgt_lang")).otherwise(label("src_lang"))}
+    own = {c: v for c, v in (("source_cmp", told("source_cmp")), ("source_len", F.col("source_len"))) if c in records.columns}
+    values |= {f"low_{c}": F.when(ahead, v) for c, v in own.items()} | {f"high_{c}": F.when(~ahead, v) for c, v in own.items()}
+    keep = [v.alias(f"x_{c}") for c, v in values.items()]
+    keys = materialize(_ranked_keys(records, memories, *keep, ahead.alias("x_ahead")), "golden-keys")
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(*_order())))
+    # partitioned by the key already, so all columns come from the one shuffle
+    groups = ranked.groupBy(*KEY).agg(
+        F.min("id").alias("group_id"), F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum("refs"), F.lit(0)).alias("refcount_sum"),
+        *[F.min_by(c, "rank").alias(c) for c in ("id", "x_ahead")],
+        *[F.min_by(f"x_{c}", F.when(F.col(f"x_{c}").isNotNull(), F.col("rank"))).alias(f"x_{c}") for c in values],
+    ).filter("copies > 1")
+
+    def facing(low: str, high: str) -> Column:
+        return F.when(F.col("x_ahead"), F.col(f"x_{low}")).otherwise(F.col(f"x_{high}"))
+
+    sided = {"src_lang": facing("low_lang", "high_lang"), "tgt_lang": facing("high_lang", "low_lang")} | {c: facing(f"low_{c}", f"high_{c}") for c in own}
     texts = records.select("id", "source", "target")
-    return out.join(texts, "id").select("group_id", "id", "copies", "refcount_sum", "source", "target", *[F.col(f"x_{c}").alias(c) for c in fields])
+    return groups.join(texts, "id").select(
+        "group_id", "id", "copies", "refcount_sum", "source", "target", *[F.col(f"x_{c}").alias(c) for c in values if not c.startswith(("low_", "high_"))],
+        *[v.alias(c) for c, v in sided.items()],
+    )

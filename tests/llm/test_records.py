@@ -207,3 +207,16 @@ def test_distances_of_a_long_piece():
         off = [[langid.PLACES if r == langid.PLACES else abs(min(i, langid.PLACES) - r) for r in profiles.ranks[k].tolist()] for i, k in enumerate(ranked)]
         want.append([sum(col) / (len(ranked) * langid.PLACES) for col in zip(*off)])
     assert max(counts.values()) < 127 and profiles.distances(pieces) == pytest.approx(langid.np.array(want))
+
+
+def test_golden_fills_every_gap(spark, memories):
+    rows = [
+        dict(id=1, memory="m", source="open file", target="開く", validated=True, src_lang="und", tgt_lang=None, reliability=12, created="rubbish", modified=None, context=None),
+        dict(id=2, memory="m", source="開く", target="Open file!", validated=False, src_lang="ja", tgt_lang="en", reliability=4, created="2020-01-01", source_cmp="開く", refcount=2),
+        dict(id=3, memory="m", source="Open file", target="開く", src_lang="EN", reliability=2, created="2019-01-01", modified="2019-02-02", source_cmp="open file", context="menu"),
+    ]
+    gold = copies.golden(table(spark, *rows), memories).collect()
+    assert len(gold) == 1 and gold[0].asDict() | {"ingested": None} == dict(
+        group_id=1, id=1, copies=3, refcount_sum=2, source="open file", target="開く", memory="m", context="menu", created="2020-01-01", modified="2019-02-02", created_by=None, modified_by=None,
+        reliability=4, validated=True, refcount=2, ingested=None, src_lang="en", tgt_lang="ja", source_cmp="open file",
+    )
