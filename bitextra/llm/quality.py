@@ -23,8 +23,11 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_SAMPLES = 20_000
+#: common words of a language; those after the last of ``RANKS`` but one are one group, so far fewer would do
+MAX_WORDS = 20_000
 UNSPACED = frozenset({"ja", "zh", "ko"})
 #: weight of the function words against the character classes
 WORDS, CLASSES = 0.75, 0.25
@@ -310,7 +313,9 @@ def figures(text: str | None, prose: Prose) -> tuple:
 
 def fit(common: DataFrame, samples: DataFrame) -> Prose:
     """Profiles from (lang, word, freq_rank) and (lang, text); rows with nulls are left out."""
-    words = common.select("lang", "word", "freq_rank").dropna(subset=["lang", "word"]).orderBy("lang", F.asc_nulls_last("freq_rank"), "word").limit(MAX_SAMPLES)
+    words = common.select("lang", "word", "freq_rank").dropna(subset=["lang", "word"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.asc_nulls_last("freq_rank"), "word"))
+    words = words.withColumn("place", place).filter(F.col("place") <= MAX_WORDS).orderBy("lang", "place")
     texts = samples.select("lang", "text").dropna().limit(MAX_SAMPLES)
     return Prose([(r["lang"], r["word"]) for r in words.collect()], [tuple(r) for r in texts.collect()])
 

@@ -109,3 +109,11 @@ def test_kinds(spark):
 
 def test_divergence():
     assert quality.divergence([1, 0], [0, 1]) == pytest.approx(1) and quality.divergence([0.5, 0.5], [0.5, 0.5]) == 0
+
+
+def test_long_word_tables_keep_every_language(spark):
+    """A language late in the alphabet keeps its words however many the first one has."""
+    words = spark.range(25_000).selectExpr("'de' AS lang", "concat('w', id) AS word", "CAST(id AS INT) AS freq_rank")
+    words = words.unionByName(spark.createDataFrame([("zh", "的", 1), ("zh", "了", 2)], "lang string, word string, freq_rank int"))
+    prose = quality.fit(words, spark.createDataFrame([("zh", "我们的文件已经保存了。")], "lang string, text string"))
+    assert list(prose.words["zh"]) == ["的", "了"] and "zh" in prose.function and prose.words["de"]["w0"] == 0
