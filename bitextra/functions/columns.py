@@ -26,12 +26,20 @@ def strip_tags(c: ColumnLike) -> Column:
 
 
 def collapse_blanks(c: ColumnLike) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(c), r"(?U)\s+", " "), "^ | $", "")
+    c = _c(c)
+    # most texts have single blanks already; a class of plain blanks is much faster than one by properties
+    odd = c.rlike(r"^ | $|  |[\t-\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+    return F.when(odd, F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")).otherwise(c)
 
 
 def make_cmp(c: ColumnLike) -> Column:
-    """Comparison form: tags out, folded, blanks collapsed. Null for null."""
-    return collapse_blanks(fold(strip_tags(c)))
+    """Comparison form: tags out, folded, blanks collapsed. Null for null.
+
+    ASCII texts have no widths to fold; tags are only looked for where there is an angle bracket.
+    """
+    c = _c(c)
+    plain = F.when(c.contains("<"), strip_tags(c)).otherwise(c)
+    return collapse_blanks(F.when(F.octet_length(plain) == F.length(plain), F.lower(plain)).otherwise(fold(plain)))
 
 
 def nfkc(c: ColumnLike) -> Column:
@@ -45,6 +53,17 @@ def nfkc(c: ColumnLike) -> Column:
     return F.when(plain, c).otherwise(run(F.when(~plain, c)))
 
 
+def without_accents(c: ColumnLike) -> Column:
+    """Text without combining marks; plain ASCII does not leave the JVM."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(strings.without_accents, na_action="ignore")
+
+    c = _c(c)
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, c).otherwise(run(F.when(~plain, c)))
+
+
 def hira_to_kata(c: ColumnLike) -> Column:
     return F.translate(_c(c), strings.WIDTH_FROM[-86:], strings.WIDTH_TO[-86:])
 
@@ -179,6 +198,18 @@ def contains_bounded(text: ColumnLike, folded: Column) -> Column:
     return F.when(folded == "", True).otherwise(F.regexp_like(fold(text), bounded_pattern(folded)))
 
 
+def pattern_groups(pattern: str) -> int | None:
+    """Groups of a regular expression, as the engine that runs the filters reads it; None if it is invalid."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        compiled = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(f"(?iu){pattern}")
+    except IllegalArgumentException:
+        return None
+    return compiled.matcher("").groupCount()
+
+
 def apply_casing(pattern: ColumnLike, text: ColumnLike) -> Column:
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -45,6 +45,11 @@ def make_cmp_nfkc(text: str, case: bool = True, width: bool = True, kana: bool =
     return " ".join(text.split())
 
 
+def without_accents(text: str) -> str:
+    """Text without the combining marks of its decomposed form."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
 def contains_cjk(text: str, flavour: str = "js") -> bool:
     return _CJK[flavour].search(text) is not None
 

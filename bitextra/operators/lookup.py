@@ -1,28 +1,29 @@
 """Lookups of many queries in a memory: fuzzy, exact, reverse, concordance and glossary.
 
-Queries are a table (query_id, query); one query is the case of one row.  The similarity join is exact: equal
-comparison forms meet in a hash join; all others meet by length.  Each text falls into one length bucket, each query
-is sent to the buckets its score allows, and a salt spreads every bucket over ``SALTS`` tasks, so neither a common
-length nor a large memory ends in one task.  Texts that occur many times are scored once.  Pairs compared by
-characters are decided by the bounded edit distance inside the join; only pairs compared by words go to Python.
+Queries are a table (query_id, query); one query is the case of one row.  The similarity join is exact at every
+score.  Equal comparison forms meet in a hash join.  All others meet in blocks: each text falls into one bucket of
+lengths, each query is sent to the buckets its score allows, and both are cut into blocks of bounded size, so neither
+a common length nor a large memory ends in one task.  A pair of blocks is one vectorised call (``functions.blocks``)
+that rules out most pairs by lengths, characters and the places of bigrams.  Texts that occur many times are scored once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import log
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bitextra.functions import blocks
 from bitextra.functions import columns as C
-from bitextra.functions import strings as S
-from bitextra.scratch import spread
+from bitextra.scratch import materialize
 
-BUCKET, SALTS = 8, 16
-#: rows that a Python task hands back at once
-_CHUNK = 50_000
+#: texts and queries of a block, at most (about, as blocks are told by hashes)
+TEXTS, QUERIES = 4096, 2048
+#: characters of a term, or of a part of it, that must stand in a text as they are
+GRAM = 3
 #: columns of a memory that results carry
 CARRIED = ("id", "source", "target", "context", "reliability", "validated", "refcount")
 
@@ -34,127 +35,69 @@ def prepared(memory: DataFrame, normalizer: str = "fold") -> DataFrame:
     return out.withColumns({"source_len": F.length("source_cmp"), "target_len": F.length("target_cmp")})
 
 
-def _buckets(length: Column, least: float) -> Column:
-    if least <= 0:
-        return F.array(F.lit(0))
-    low = F.floor(length * F.lit(float(least)))
-    high = F.floor(length / F.lit(float(least))) + 1
-    return F.sequence(F.floor(low / BUCKET).cast("int"), F.floor(high / BUCKET).cast("int"))
-
-
 def _tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
-def length_candidates(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (q, s) of different forms whose lengths allow ``least``; ``queries`` has q, ``texts`` has s, both distinct.
-
-    With ``least`` of 0 or less every length is allowed, so only the salt spreads the pairs.
-    """
-    q = queries.select("q", F.length("q").alias("ql"), F.explode(_buckets(F.length("q"), least)).alias("bucket"))
-    q = q.select("q", "ql", "bucket", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    s = texts.select("s", F.length("s").alias("sl"), (F.floor(F.length("s") / BUCKET) if least > 0 else F.lit(0)).cast("int").alias("bucket"), F.pmod(F.xxhash64("s"), F.lit(SALTS)).cast("int").alias("salt"))
-    # the pairs are many although the tables are small: keep the tasks that AQE would merge by their size
-    n = _tasks(queries)
-    q, s = q.repartition(n, "bucket", "salt"), s.repartition(n, "bucket", "salt")
-    fits = F.least("ql", "sl") >= F.lit(float(least)) * F.greatest("ql", "sl")
-    return q.join(s, ["bucket", "salt"]).filter(fits & (F.col("q") != F.col("s"))).select("q", "s")
+def _per_bucket(df: DataFrame, size: int) -> dict[int, int]:
+    """How many blocks each bucket is cut into; there are as many buckets as lengths have magnitudes."""
+    return {r["bucket"]: -(-r["n"] // size) for r in df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def segment_candidates(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (q, s) by the pigeonhole principle, for scores by characters and ``least`` of 0.8 or more.
+def block_scores(queries: DataFrame, texts: DataFrame, least: float, mode: str = "auto") -> DataFrame:
+    """(q, s, score) of all pairs of different forms that reach ``least``; ``queries`` has q, ``texts`` has s, both distinct.
 
-    A text of length n with edit budget d is cut into d + 1 segments; a query within d edits holds one of them,
-    shifted by at most d.  Texts are indexed by (length, segment number, segment), queries probe the shifts.
+    With ``least`` of 0 or less every length is allowed and every pair comes out.
     """
-    share = float(least)
-
-    def plan(ql: int, sl: int) -> tuple[int, list[tuple[int, int]]]:
-        h = max(ql, sl)
-        d = h - int(h * share)
-        size, extra = divmod(sl, d + 1)
-        spans, at = [], 0
-        for k in range(d + 1):
-            n = size + (k >= d + 1 - extra)
-            spans.append((at, n))
-            at += n
-        return d, spans
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for q in b["q"]:
-                n = len(q)
-                for sl in range(int(n * share), int(n / share) + 2):
-                    if min(n, sl) < share * max(n, sl):
-                        continue
-                    d, spans = plan(n, sl)
-                    for k, (at, size) in enumerate(spans):
-                        # only shifts that leave enough edits for the segments before and after
-                        lo = max(0, at - k, at + (n - sl) - (d - k))
-                        hi = min(n - size, at + k, at + (n - sl) + (d - k))
-                        out += [(q, sl, d, k, seg) for seg in {q[p : p + size] for p in range(lo, hi + 1)}]
-                    if len(out) > _CHUNK:
-                        yield pd.DataFrame(out, columns=["q", "sl", "d", "k", "seg"])
-                        out = []
-            yield pd.DataFrame(out, columns=["q", "sl", "d", "k", "seg"])
-
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for s in b["s"]:
-                n = len(s)
-                # the budget depends on the longer length: as many cuts as there are budgets
-                done = set()
-                for ql in range(int(n * share), int(n / share) + 2):
-                    d, spans = plan(ql, n)
-                    if d not in done:
-                        done.add(d)
-                        out += [(s, n, d, k, s[a : a + size]) for k, (a, size) in enumerate(spans)]
-                if len(out) > _CHUNK:
-                    yield pd.DataFrame(out, columns=["s", "sl", "d", "k", "seg"])
-                    out = []
-            yield pd.DataFrame(out, columns=["s", "sl", "d", "k", "seg"])
-
-    left = spread(queries.select("q")).mapInPandas(probes, "q string, sl int, d int, k int, seg string")
-    right = spread(texts.select("s")).mapInPandas(segments, "s string, sl int, d int, k int, seg string")
-    return left.join(right, ["sl", "d", "k", "seg"]).filter("q <> s").select("q", "s").distinct()
-
-
-def _word_scores(pairs: DataFrame, least: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["score"] = [S.fuzzy_score(q, s, least) for q, s in zip(b["q"], b["s"])]
-            yield b[b["score"] > 0]
-
-    return pairs.repartition(_tasks(pairs)).mapInPandas(run, "q string, s string, score double")
-
-
-def similar_texts(queries: DataFrame, texts: DataFrame, least: float, mode: str = "auto", blocking: str = "length") -> DataFrame:
+    ratio = log(max(1 / least, 1.1)) if least > 0 else 0
+
+    def bucket(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n, F.lit(1))) / ratio).cast("int") if ratio else F.lit(0)
+
+    s = texts.select("s", bucket(F.length("s")).alias("bucket"))
+    n = F.length("q")
+    reach = F.sequence(bucket(n * least) - 1, bucket(n / least + 1) + 1) if ratio else F.array(F.lit(0))
+    q = queries.select("q", F.explode(reach).alias("bucket"))
+    tasks = _tasks(queries)
+    size = min(TEXTS, max(TEXTS // 8, texts.count() // (2 * tasks)))
+    many_s, many_q = _per_bucket(s, size), _per_bucket(q, QUERIES)
+    both = sorted(many_s.keys() & many_q.keys())
+    if not both:
+        return queries.select("q", F.col("q").alias("s"), F.lit(1.0).alias("score")).limit(0)
+
+    def cut(of: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for b in both for x in (b, of[b])]), F.col("bucket"))
+
+    def placed(df: DataFrame, text: str, own: str, other: str, mine: dict[int, int], theirs: dict[int, int]) -> DataFrame:
+        df = df.filter(F.col("bucket").isin(both)).withColumn(own, F.pmod(F.xxhash64(text), cut(mine)).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), cut(theirs) - 1)))
+        # a block is much work however few bytes it has: a fixed number of tasks, which AQE does not merge
+        return df.repartition(max(tasks, 2 * sum(many_s[b] * many_q[b] for b in both)), "bucket", "sb", "qb")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = left["q"].to_pylist(), right["s"].to_pylist()
+        iq, it, score = blocks.scored(x, y, least, mode)
+        return pa.table({"q": pa.array([x[i] for i in iq], pa.string()), "s": pa.array([y[i] for i in it], pa.string()), "score": pa.array(score, pa.float64())})
+
+    left = placed(q, "q", "qb", "sb", many_q, many_s).groupBy("bucket", "sb", "qb")
+    right = placed(s, "s", "sb", "qb", many_s, many_q).groupBy("bucket", "sb", "qb")
+    return left.cogroup(right).applyInArrow(run, "q string, s string, score double")
+
+
+def similar_texts(queries: DataFrame, texts: DataFrame, least: float, mode: str = "auto") -> DataFrame:
     """(q, s, score) of all pairs of comparison forms that reach ``least``, equal ones included.
 
-    ``mode`` 'char' compares by characters, 'auto' by words where the query has blanks and no CJK.  ``blocking``
-    'segments' (with 'char' and at least 0.8) trades the length join for one on shared segments.
+    ``mode`` 'char' compares by characters, 'auto' by words where the query has blanks and no CJK.
     """
-    q = queries.select("q").filter(F.col("q") != "").distinct()
-    s = texts.select("s").filter(F.col("s").isNotNull()).distinct()
+    q = materialize(queries.select("q").filter(F.col("q") != "").distinct(), "asked-forms")
+    s = materialize(texts.select("s").filter(F.col("s").isNotNull()).distinct(), "held-forms")
     equal = q.join(s, F.col("q") == F.col("s")).withColumn("score", F.lit(1.0))
-    if blocking == "segments":
-        if mode != "char" or least < 0.8:
-            raise ValueError("blocking by segments needs mode 'char' and a score of at least 0.8")
-        pairs = segment_candidates(q, s, least)
-    else:
-        pairs = length_candidates(q, s, least)
-    chars = pairs if mode == "char" else pairs.filter(C.by_char("q"))
-    out = equal.unionByName(chars.withColumn("score", C.edit_score("q", "s", least)).filter(F.col("score") >= least))
-    if mode != "char":
-        out = out.unionByName(_word_scores(pairs.filter(~C.by_char("q")), least))
-    return out.filter(F.col("score") >= least)
+    return equal.unionByName(block_scores(q, s, least, mode)).filter(F.col("score") >= least)
 
 
 def fuzzy_lookup(
     queries: DataFrame, memory: DataFrame, least: float = 0.7, mode: str = "auto", on: str = "source", k: int | None = 20,
-    penalty: bool = False, blocking: str = "length", order: tuple[str, ...] = ("refcount",),
+    penalty: bool = False, order: tuple[str, ...] = ("refcount",),
 ) -> DataFrame:
     """query_id, match_rank, score and the record, best first: score, then ``order`` falling (nulls last), then id.
 
@@ -162,7 +105,7 @@ def fuzzy_lookup(
     """
     q = queries.select("query_id", "query", C.make_cmp("query").alias("q"))
     side = prepared(memory.select(*CARRIED)).withColumnRenamed(f"{on}_cmp", "s").drop("source_cmp", "target_cmp", "source_len", "target_len")
-    found = similar_texts(q, side, least, mode, blocking)
+    found = similar_texts(q, side, least, mode)
     rows = q.join(found, "q").join(side, "s")
     if penalty:
         rows = rows.withColumn("score", F.col("score") - C.format_penalty("query", on)).filter(F.col("score") >= least)
@@ -184,9 +127,9 @@ def exact_lookup(queries: DataFrame, memory: DataFrame, k: int | None = 10) -> D
     return (ranked if k is None else ranked.filter(F.col("match_rank") <= k)).select("query_id", "match_rank", "score", *CARRIED)
 
 
-def reverse_lookup(queries: DataFrame, memory: DataFrame, least: float = 0.7, k: int | None = 20, mode: str = "auto", flavour: str = "js") -> DataFrame:
+def reverse_lookup(queries: DataFrame, memory: DataFrame, least: float = 0.7, k: int | None = 20, mode: str = "auto", flavour: str = "js", penalty: bool = False) -> DataFrame:
     """As ``fuzzy_lookup`` on the target; flavour 'js' orders by score only, 'py' also by refcount and reliability."""
-    return fuzzy_lookup(queries, memory, least, mode, "target", k, order=() if flavour == "js" else ("refcount", "reliability"))
+    return fuzzy_lookup(queries, memory, least, mode, "target", k, penalty, () if flavour == "js" else ("refcount", "reliability"))
 
 
 def searched(queries: DataFrame, memory: DataFrame, least: float) -> DataFrame:
@@ -208,7 +151,7 @@ def concordance(memory: DataFrame, query: str, regex: bool = False, k: int | Non
 
     The first ``k`` by id; match_field names the first field that holds it.
     """
-    if regex and not _valid(query):
+    if regex and C.pattern_groups(query) is None:
         return memory.select(*CARRIED).withColumn("match_field", F.lit("")).limit(0)
 
     def holds(c: str) -> Column:
@@ -220,23 +163,13 @@ def concordance(memory: DataFrame, query: str, regex: bool = False, k: int | Non
     return out if k is None else out.orderBy("id").limit(k)
 
 
-def _valid(pattern: str) -> bool:
-    import re
-
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
-
-
 def phrase_concordance(memory: DataFrame, phrase: str, field: str = "source") -> DataFrame:
     """Records whose field holds the phrase's words in sequence, regardless of case and accents; whole words only."""
     if field not in ("source", "target", "context"):
         raise ValueError(f"no field to search: {field}")
 
     def words(c: Column) -> Column:
-        plain = F.lower(F.translate(c, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"))
+        plain = F.lower(C.without_accents(c))
         return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{Co}]+", " ")), F.lit(" "))
 
     return memory.select(*CARRIED).filter(words(F.col(field)).contains(words(F.lit(phrase)))).withColumn("score", F.lit(1.0))
@@ -245,30 +178,59 @@ def phrase_concordance(memory: DataFrame, phrase: str, field: str = "source") ->
 # glossary
 
 
-def glossary_hits(queries: DataFrame, glossary: DataFrame, least: float = 1.0, bidirectional: bool = False, limit_rows: int = 100_000) -> DataFrame:
+def grams(text: Column) -> Column:
+    """All runs of one to ``GRAM`` characters of a text, and the empty one."""
+    def runs(n: int) -> Column:
+        last = F.length(text) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+    parts = [F.coalesce(runs(n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
+
+
+def _anchors(term: Column, least: float) -> Column:
+    """Runs of which at least one stands in every text that holds the term with a score of ``least``.
+
+    Of d + 1 parts of a term one is left untouched by d edits; its first characters are the key.
+    """
+    n = F.length(term)
+    edits = F.floor(n * F.lit(max(0.0, 1 - least)) + 1e-9)
+    at = F.transform(F.sequence(F.lit(0), edits), lambda k: F.struct(F.floor(k * n / (edits + 1)).cast("int").alias("a"), F.floor((k + 1) * n / (edits + 1)).cast("int").alias("b")))
+    return F.array_distinct(F.transform(at, lambda x: F.substring(term, x["a"] + 1, F.least(x["b"] - x["a"], F.lit(GRAM)))))
+
+
+def glossary_hits(queries: DataFrame, glossary: DataFrame, least: float = 1.0, bidirectional: bool = False) -> DataFrame:
     """query_id, id, term, translation, score: terms in each query, by containment or, below 1, by substring distance.
 
-    A glossary of up to ``limit_rows`` entries is broadcast; a larger one is joined by the first two characters of
-    the term (containment only), so its size is no limit.
+    Queries and terms meet by short runs that a hit must share, whatever the size of the glossary; Spark broadcasts the
+    terms where they are small.  With ``bidirectional`` a query inside a term is a hit too (containment only).
     """
     q = queries.select("query_id", C.make_cmp("query").alias("q")).filter("q <> ''")
     g = glossary.select("id", "term", "translation", F.coalesce(F.nullif("cmp", F.lit("")), C.make_cmp("term")).alias("t")).filter("t <> ''")
-    small = glossary.select("id").limit(limit_rows + 1).count() <= limit_rows
-    inside = F.contains("q", F.col("t")) | (F.contains("t", F.col("q")) if bidirectional else F.lit(False))
-    if small and least < 1:
-        pairs = q.join(F.broadcast(g)).withColumn("score", C.substring_score("t", "q", least))
-        rows = pairs.filter(F.col("score") >= least)
-    elif small:
-        rows = q.join(F.broadcast(g), inside).withColumn("score", F.lit(1.0))
-    else:
-        if least < 1 or bidirectional:
-            raise ValueError("a large glossary is searched by containment only")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.substring(F.col("q"), i, F.lit(2))))
-        keyed = q.withColumn("key", F.explode(F.array_union(grams, F.array_distinct(F.split("q", "")))))
-        rows = keyed.join(g.withColumn("key", F.substring("t", 1, 2)), "key").filter(inside).withColumn("score", F.lit(1.0)).drop("key")
+    terms = g.select(F.col("id").alias("gid"), "t")
+    keyed = q.select("query_id", "q", F.explode(grams(F.col("q"))).alias("key"))
+    met = keyed.join(terms.select("gid", "t", F.explode(_anchors(F.col("t"), least)).alias("key")), "key").drop("key")
+    if least >= 1:
+        met = met.filter(F.contains("q", F.col("t")))
+    met = met.distinct().withColumn("score", F.lit(1.0) if least >= 1 else C.substring_score("t", "q", least)).filter(F.col("score") >= least)
+    if bidirectional:
+        inside = q.select("query_id", "q", F.substring("q", 1, GRAM).alias("key"))
+        back = inside.join(terms.select("gid", "t", F.explode(grams(F.col("t"))).alias("key")), "key").filter(F.contains("t", F.col("q")) & ~F.contains("q", F.col("t"))).drop("key")
+        met = met.unionByName(back.distinct().withColumn("score", F.lit(1.0)))
+        met = met.groupBy("query_id", "q", "gid", "t").agg(F.max("score").alias("score"))
+    rows = met.select("query_id", F.col("gid").alias("id"), "score").join(g.select("id", "term", "translation"), "id")
     return rows.select("query_id", "id", "term", "translation", "score", F.length("term").alias("term_len"))
 
 
+def rows_with_terms(cells: DataFrame, glossary: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """``keys`` of the rows whose text holds a glossary term, regardless of case."""
+    terms = glossary.select(F.lower("term").alias("t")).filter("t <> ''").distinct()
+    terms = terms.withColumn("key", F.substring("t", 1, GRAM))
+    rows = cells.select(*keys, F.lower(text).alias("__text"))
+    rows = rows.withColumn("key", F.explode(grams(F.col("__text"))))
+    return rows.join(terms, "key").filter(F.contains("__text", F.col("t"))).select(*keys).distinct()
+
+
 def glossary_lookup(queries: DataFrame, glossary: DataFrame, least: float = 1.0, bidirectional: bool = False, k: int | None = None) -> DataFrame:
     """``glossary_hits`` ranked by score, then longer terms, then id."""
     hits = glossary_hits(queries, glossary, least, bidirectional)

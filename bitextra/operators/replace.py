@@ -42,11 +42,18 @@ def parse(text: str | None) -> Expression:
     return Expression("" if value == "*" else value, field, star=value == "*")
 
 
-def _pattern(e: Expression) -> re.Pattern | None:
-    try:
-        return re.compile(e.value, re.IGNORECASE)
-    except re.error:
-        return None
+def _template(new: str, groups: int) -> str:
+    """The replacement with ``$1`` to ``$99`` and ``$&`` in the engine's notation; a number without a group stays as it is."""
+    def written(m: re.Match) -> str:
+        if m[0] == "$&":
+            return "$0"
+        if m[1] and 1 <= int(m[1]) <= groups:
+            return f"${int(m[1])}"
+        if m[1] and len(m[1]) == 2 and 1 <= int(m[1][0]) <= groups:
+            return f"${m[1][0]}\\{m[1][1]}"
+        return "".join("\\" + c if c in "\\$" else c for c in m[0])
+
+    return re.sub(r"\$(\d{1,2})|\$&|[\\$]", written, new)
 
 
 def find(records: DataFrame, text: str) -> DataFrame:
@@ -55,7 +62,7 @@ def find(records: DataFrame, text: str) -> DataFrame:
     An empty value is in every field that is not null; numbers, flags and dates are matched as text.
     """
     e = parse(text)
-    if e.regex and _pattern(e) is None:
+    if e.regex and C.pattern_groups(e.value) is None:
         return records.withColumn("match_field", F.lit("")).limit(0)
 
     def holds(c: str) -> Column:
@@ -103,22 +110,24 @@ def replace(records: DataFrame, old: str, new: str) -> DataFrame:
         hit = F.col(a.field).eqNullSafe(was)
         return records.withColumn("changed", hit).withColumn(a.field, F.when(hit, will).otherwise(F.col(a.field)))
     fields = [f for f in ([a.field] if a.field else TEXT_FIELDS) if f in records.columns]
-    pattern = _pattern(a) if a.regex else None
+    groups = C.pattern_groups(a.value) if a.regex else None
     needle = fold(a.value)
-    if not fields or (a.regex and pattern is None) or (not a.regex and not needle):
+    if not fields or (a.regex and groups is None) or (not a.regex and not needle):
         return records.withColumn("changed", F.lit(False))
+    if a.regex:
+        fresh = {f: F.regexp_replace(F.col(f), f"(?iu){a.value}", _template(b.value, groups)) for f in fields}
+        differ = F.lit(False)
+        for f, column in fresh.items():
+            differ = differ | F.coalesce(column != F.col(f), F.lit(False))
+        return _refreshed(records.withColumn("changed", differ).withColumns(fresh))
     # only rows that hold the text leave the JVM
     may = F.lit(False)
     for f in fields:
-        hit = F.regexp_like(F.col(f), F.lit(f"(?iu){a.value}")) if a.regex else F.contains(C.fold(f), F.lit(needle))
-        may = may | F.coalesce(hit, F.lit(False))
-    template = re.sub(r"\$(\d{1,2}|&)", lambda m: r"\g<0>" if m[1] == "&" else rf"\g<{int(m[1])}>", b.value.replace("\\", r"\\")) if a.regex else ""
+        may = may | F.coalesce(F.contains(C.fold(f), F.lit(needle)), F.lit(False))
 
     def edit(s: str | None) -> str | None:
         if s is None:
             return None
-        if pattern is not None:
-            return pattern.sub(template, s)
         low, out, at = fold(s), [], 0
         while (hit := low.find(needle, at)) >= 0:
             out.append(s[at:hit] + b.value)

@@ -51,10 +51,11 @@ def merged_pairs(memory: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert(memory: DataFrame, incoming: DataFrame, now: Column | None = None, by: str = "") -> DataFrame:
     """The memory after the merge, with the columns of ``memory``; new records get ids after the greatest."""
     now = F.current_timestamp() if now is None else now
-    pairs = merged_pairs(memory, incoming)
+    # hits and fresh rows come from one evaluation
+    pairs = materialize(merged_pairs(memory, incoming), "merged-pairs")
     hits = pairs.filter(F.col("action") == COUNTED).select(F.col("id").alias("__id"), "times")
     old = memory.join(hits, memory["id"] == hits["__id"], "left")
-    changed = {"refcount": F.coalesce("refcount", F.lit(0)) + F.coalesce("times", F.lit(0)).cast("int")}
+    changed = {"refcount": F.when(F.col("times").isNull(), F.col("refcount")).otherwise(F.coalesce("refcount", F.lit(0)) + F.col("times").cast("int"))}
     if "modified" in memory.columns:
         changed["modified"] = F.when(F.col("times").isNotNull(), now.cast(memory.schema["modified"].dataType)).otherwise(F.col("modified"))
     if by and "modified_by" in memory.columns:

@@ -144,13 +144,9 @@ def a1_references(spark, d):
 # similarity
 
 
-_A, _B = sql.to_ascii("src"), sql.to_ascii("source")
-
-
-@query(f"SELECT sheet_id, row_num, CAST(levenshtein({_A}, {_B}) AS INTEGER) AS distance, {sql.score(_A, _B)} AS score FROM {_SQL_PAIRS}")
+@query(f"SELECT sheet_id, row_num, CAST(levenshtein(a_code, b_code) AS INTEGER) AS distance, {sql.score('src', 'source')} AS score FROM {sql.coded(_SQL_PAIRS, 'src', 'source')}")
 def sim_edit(spark, d):
-    p = _pairs(spark, d).withColumns({c: F.regexp_replace(c, r"[^\x00-\x7F]", "?") for c in ("src", "source")})
-    return p.select("sheet_id", "row_num", F.levenshtein("src", "source").alias("distance"), C.edit_score("src", "source").alias("score"))
+    return _pairs(spark, d).select("sheet_id", "row_num", F.levenshtein("src", "source").alias("distance"), C.edit_score("src", "source").alias("score"))
 
 
 _CHARS = "SELECT sheet_id, row_num, ch, count(*) AS n FROM (SELECT sheet_id, row_num, unnest(string_split({0}, '')) AS ch FROM " + _SQL_PAIRS + ") WHERE ch <> '' GROUP BY ALL"
@@ -186,38 +182,30 @@ def lkp_exact(spark, d):
     return lookup.exact_lookup(_asked(spark, d), table(spark, d, "records")).select("query_id", "match_rank", "id")
 
 
-def _ascii_records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "records").withColumns({c: F.regexp_replace(C.make_cmp(c), r"[^\x00-\x7F]", "?") for c in ("source", "target")})
-
-
-def _fuzzy_sql(column: str, least: float, order: str, k: int) -> str:
-    text = sql.to_ascii(sql.make_cmp(column))
-    text = sql.make_cmp(text)
-    return f"""WITH m AS (SELECT id, refcount, reliability, validated, {text} AS s FROM records), q AS (SELECT id AS query_id, s AS q FROM m WHERE id % 50 = 0 AND s <> ''),
-    p AS (SELECT query_id, id, refcount, reliability, validated, {sql.score('q', 's')} AS score FROM q JOIN m ON least(length(q), length(s)) >= {least}::DOUBLE * greatest(length(q), length(s))),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC{order}, id) AS match_rank FROM p WHERE score >= {least}::DOUBLE)
+def _fuzzy_sql(column: str, least: float, order: str, k: int, taken: str = "0") -> str:
+    """Fuzzy lookup by characters of every 50th record; ``taken`` is taken off the score."""
+    banded = f"""(SELECT q.query_id, q.q, q.raw, m.* FROM (SELECT id AS query_id, s AS q, raw_text AS raw FROM m WHERE id % 50 = 0 AND s <> '') q
+        JOIN m ON least(length(q), length(s)) >= {least}::DOUBLE * greatest(length(q), length(s)))"""
+    return f"""WITH m AS (SELECT id, refcount, reliability, validated, {column} AS raw_text, {sql.make_cmp(column)} AS s FROM records),
+    p AS (SELECT *, {sql.score('q', 's')} AS plain FROM {sql.coded(banded, 'q', 's')}),
+    t AS (SELECT *, plain - {taken} AS score FROM p WHERE plain >= {least}::DOUBLE),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC{order}, id) AS match_rank FROM t WHERE score >= {least}::DOUBLE)
     SELECT query_id, match_rank, id, score FROM r WHERE match_rank <= {k}"""
 
 
 @query(_fuzzy_sql("source", 0.7, ", refcount DESC NULLS LAST, reliability DESC NULLS LAST, validated DESC NULLS LAST", 10))
 def lkp_fuzzy_char(spark, d):
-    m = _ascii_records(spark, d)
-    q = m.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("source").alias("query"))
-    return lookup.fuzzy_lookup(q, m, 0.7, "char", k=10, order=lookup.PY_ORDER).select("query_id", "match_rank", "id", "score")
+    return lookup.fuzzy_lookup(_asked(spark, d), table(spark, d, "records"), 0.7, "char", k=10, order=lookup.PY_ORDER).select("query_id", "match_rank", "id", "score")
 
 
 @query(_fuzzy_sql("source", 0.9, ", refcount DESC NULLS LAST", 20))
-def lkp_fuzzy_segments(spark, d):
-    m = _ascii_records(spark, d)
-    q = m.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("source").alias("query"))
-    return lookup.fuzzy_lookup(q, m, 0.9, "char", blocking="segments").select("query_id", "match_rank", "id", "score")
+def lkp_fuzzy_tight(spark, d):
+    return lookup.fuzzy_lookup(_asked(spark, d), table(spark, d, "records"), 0.9, "char").select("query_id", "match_rank", "id", "score")
 
 
 @query(_fuzzy_sql("target", 0.75, "", 20))
 def lkp_reverse_char(spark, d):
-    m = _ascii_records(spark, d)
-    q = m.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("target").alias("query"))
-    return lookup.reverse_lookup(q, m, 0.75, mode="char").select("query_id", "match_rank", "id", "score")
+    return lookup.reverse_lookup(_asked(spark, d, "target"), table(spark, d, "records"), 0.75, mode="char").select("query_id", "match_rank", "id", "score")
 
 
 @query()
@@ -225,11 +213,23 @@ def lkp_fuzzy_auto(spark, d):
     return lookup.fuzzy_lookup(_asked(spark, d), table(spark, d, "records"), 0.7)
 
 
-@query()
+def _opening(x: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({x}, '<([^>]+)>', 1), lambda t: lower(t)), lambda t: NOT starts_with(t, '/'))"
+
+
+_TAGS_OFF = "coalesce(list_sum(list_transform(list_distinct(list_concat({a}, {b})), lambda t: abs(len(list_filter({a}, lambda x: x = t)) - len(list_filter({b}, lambda x: x = t))))), 0)::DOUBLE / 100".format(a=_opening("raw"), b=_opening("raw_text"))
+
+
+@query(_fuzzy_sql("source", 0.8, ", refcount DESC NULLS LAST", 20, _TAGS_OFF))
 def lkp_fuzzy_penalty(spark, d):
     return lookup.fuzzy_lookup(_asked(spark, d), table(spark, d, "records"), 0.8, "char", penalty=True).select("query_id", "match_rank", "id", "score")
 
 
+@query(_fuzzy_sql("target", 0.8, "", 20, _TAGS_OFF))
+def lkp_reverse_penalty(spark, d):
+    return lookup.reverse_lookup(_asked(spark, d, "target"), table(spark, d, "records"), 0.8, mode="char", penalty=True).select("query_id", "match_rank", "id", "score")
+
+
 @query()
 def lkp_reverse_auto(spark, d):
     return lookup.reverse_lookup(_asked(spark, d, "target"), table(spark, d, "records"), 0.8).select("query_id", "match_rank", "id", "score")
@@ -310,8 +310,7 @@ def fil_browse(spark, d):
 
 @query("SELECT sheet_id, row_num FROM cells c WHERE EXISTS (SELECT 1 FROM glossary g WHERE term <> '' AND contains(lower(c.src), lower(g.term)))")
 def fil_term_rows(spark, d):
-    terms = table(spark, d, "glossary").filter("term <> ''").select(F.lower("term").alias("t")).distinct()
-    return table(spark, d, "cells").join(F.broadcast(terms), F.contains(F.lower("src"), F.col("t")), "left_semi").select("sheet_id", "row_num")
+    return lookup.rows_with_terms(table(spark, d, "cells"), table(spark, d, "glossary"), "src", ["sheet_id", "row_num"])
 
 
 @query(f"SELECT id, CAST(length({sql.make_cmp('source')}) AS INTEGER) AS n FROM records WHERE length({sql.make_cmp('source')}) BETWEEN floor(40 * 0.7::DOUBLE) AND floor(40 / 0.7::DOUBLE) + 1")
@@ -349,7 +348,7 @@ def ups_tallies(spark, d):
 
 @query(
     _MERGE + f""", h AS (SELECT o.id, times FROM n JOIN o ON n.a = o.a AND n.b = o.b)
-    SELECT {sql.make_cmp('r.source')} AS a, {sql.make_cmp('r.target')} AS b, CAST(coalesce(refcount, 0) + coalesce(times, 0) AS INTEGER) AS refcount FROM records r LEFT JOIN h ON r.id = h.id
+    SELECT {sql.make_cmp('r.source')} AS a, {sql.make_cmp('r.target')} AS b, CAST(CASE WHEN times IS NULL THEN refcount ELSE coalesce(refcount, 0) + times END AS INTEGER) AS refcount FROM records r LEFT JOIN h ON r.id = h.id
     UNION ALL SELECT n.a, n.b, CAST(times - 1 AS INTEGER) FROM n LEFT JOIN o ON n.a = o.a AND n.b = o.b WHERE o.id IS NULL"""
 )
 def ups_merged(spark, d):
@@ -488,7 +487,13 @@ def snr_overwrite(spark, d):
     return snr.replace(table(spark, d, "records").select("id", "created_by"), "created-by:*", "Ryan")
 
 
-@query()
+_LANTERN = "".join(f"[{c}{c.upper()}{chr(ord(c) + 0xFEE0)}{chr(ord(c.upper()) + 0xFEE0)}]" for c in "lantern")
+
+
+@query(
+    f"""WITH r AS (SELECT id, source AS s, target AS t, regexp_replace(source, '{_LANTERN}', 'lamp', 'g') AS source, regexp_replace(target, '{_LANTERN}', 'lamp', 'g') AS target FROM records)
+    SELECT id, source, target, {sql.make_cmp('source')} AS source_cmp, coalesce(s <> source, false) OR coalesce(t <> target, false) AS changed FROM r"""
+)
 def snr_replace_text(spark, d):
     return snr.replace(table(spark, d, "records").select("id", "source", "target", "source_cmp"), "lantern", "lamp")
 

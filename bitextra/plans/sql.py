@@ -20,13 +20,23 @@ def make_cmp(x: str) -> str:
     return f"regexp_replace(regexp_replace({fold(stripped)}, '{BLANKS}', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def to_ascii(x: str) -> str:
-    return rf"regexp_replace({x}, '[^\x00-\x7F]', '?', 'g')"
+#: the symbols that ``coded`` writes characters with
+_SYMBOLS = "list_reduce(list_transform(range(1, 128), lambda i: chr(CAST(i AS INTEGER))), lambda x, y: x || y)"
+
+
+def coded(rows: str, a: str, b: str) -> str:
+    """Subquery: ``rows`` with a_code and b_code, the two texts with each character of either written as one byte.
+
+    The edit distance of DuckDB counts bytes; so that of the codes counts characters.  A pair may hold 127 different ones.
+    """
+    return f"""(SELECT *, translate({a}, alphabet, left(symbols, length(alphabet))) AS a_code, translate({b}, alphabet, left(symbols, length(alphabet))) AS b_code
+        FROM (SELECT *, array_to_string(list_distinct(string_split({a} || {b}, '')), '') AS alphabet FROM {rows}), (SELECT {_SYMBOLS} AS symbols))"""
 
 
 def score(a: str, b: str) -> str:
+    """Edit score of two texts of a ``coded`` subquery."""
     h = f"greatest(length({a}), length({b}))"
-    return f"CASE WHEN {h} = 0 THEN 1.0::DOUBLE ELSE ({h} - levenshtein({a}, {b}))::DOUBLE / {h} END"
+    return f"CASE WHEN {h} = 0 THEN 1.0::DOUBLE ELSE ({h} - levenshtein(a_code, b_code))::DOUBLE / {h} END"
 
 
 def bounded(term: str) -> str:

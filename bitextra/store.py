@@ -1,11 +1,13 @@
 """A memory, its glossary, rules and settings as versioned Parquet tables in one folder.
 
-Every change writes a new version of the table and then moves the pointer file to it, so readers see either the old
-or the new one and a failed job leaves the old.  Changes are the plans of ``operators.upsert``.
+Every change writes a new version of the table and then a numbered pointer; the highest number holds.  Readers see
+either the old or the new version, a failed job leaves the old, and the last ``KEPT`` versions stay for those who still
+read them.  Changes are the plans of ``operators.upsert``.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 from bitextra import schema
 from bitextra.operators import upsert as up
 from bitextra.functions import columns as C
+from bitextra.scratch import materialize
 
+#: versions of a table that stay
+KEPT = 3
 TABLES = {"memory": schema.MEMORY, "glossary": schema.GLOSSARY, "rules": schema.RULES, "meta": schema.META}
 
 
@@ -49,32 +54,40 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs.Path, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, folder) of the versions whose pointer is complete, oldest first."""
         path, fs = self._fs()
-        pointer = path(f"{self.path}/{name}.current")
-        if not fs.exists(pointer):
-            return None
-        reader = self.spark.sparkContext._jvm.java.io.BufferedReader(self.spark.sparkContext._jvm.java.io.InputStreamReader(fs.open(pointer), "UTF-8"))
-        try:
-            return reader.readLine()
-        finally:
-            reader.close()
+        if not fs.exists(path(self.path)):
+            return []
+        found = []
+        for status in fs.listStatus(path(self.path)):
+            m = re.fullmatch(rf"{name}\.(\d+)\.([0-9a-f]+)\.current", status.getPath().getName())
+            if m:
+                found.append((int(m[1]), f"{name}-{m[2]}"))
+        return sorted(found)
+
+    def _version(self, name: str) -> str | None:
+        found = self._versions(name)
+        return found[-1][1] if found else None
 
     def _save(self, name: str, df: DataFrame) -> None:
-        old = self._version(name)
-        new = f"{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{new}")
+        """Write a new version, then its pointer: an empty file whose name says all, so there is no half-written one.
+
+        Readers of the version before are not disturbed; versions older than ``KEPT`` are deleted.
+        """
+        mark = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/{name}-{mark}")
+        found = self._versions(name)
         path, fs = self._fs()
-        tmp = path(f"{self.path}/{name}.next")
-        out = fs.create(tmp, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        pointer = path(f"{self.path}/{name}.current")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(tmp, pointer)
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
+        number = found[-1][0] + 1 if found else 1
+        fs.create(path(f"{self.path}/{name}.{number}.{mark}.current"), False).close()
+        for old, folder in found[: max(0, len(found) + 1 - KEPT)]:
+            fs.delete(path(f"{self.path}/{name}.{old}.{folder.rsplit('-', 1)[1]}.current"), False)
+            fs.delete(path(f"{self.path}/{folder}"), True)
+
+    def _arrived(self, df: DataFrame) -> DataFrame:
+        """Incoming rows with ``seq``, their order of arrival, written down so that a retry does not change it."""
+        return materialize(df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id()), "arrived")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{self._version(name)}")
@@ -99,7 +112,7 @@ class Store:
 
     def upsert(self, records: DataFrame, by: str = "") -> dict[str, int]:
         """Merge (source, target) pairs; returns added, updated and total."""
-        rows = records if "seq" in records.columns else records.withColumn("seq", F.monotonically_increasing_id())
+        rows = self._arrived(records)
         pairs = up.merged_pairs(self.memory, rows)
         counts = up.tallies(pairs).first().asDict()
         self._save("memory", up.upsert(self.memory, rows, by=by))
@@ -132,7 +145,7 @@ class Store:
     # glossary and rules
 
     def add_terms(self, terms: DataFrame) -> dict[str, int]:
-        rows = terms if "seq" in terms.columns else terms.withColumn("seq", F.monotonically_increasing_id())
+        rows = self._arrived(terms)
         done = up.add_terms(self.glossary, rows)
         counts = {r["action"]: r["count"] for r in done.groupBy("action").count().collect()}
         top = self.glossary.agg(F.max("id")).first()[0] or 0

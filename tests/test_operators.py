@@ -48,12 +48,12 @@ def test_scores_equal_strings(spark):
         assert list(r[2:]) == pytest.approx(want), (a, b)
 
 
-@pytest.mark.parametrize("mode, blocking, least", [("auto", "length", 0.5), ("char", "length", 0.6), ("char", "segments", 0.8)])
-def test_fuzzy_lookup_is_exact(spark, tm, mode, blocking, least):
+@pytest.mark.parametrize("mode, least", [("auto", 0.5), ("char", 0.6), ("char", 0.8), ("auto", 0.0)])
+def test_fuzzy_lookup_is_exact(spark, tm, mode, least):
     extra = spark.createDataFrame([(100 + i, f"The file number {i % 9} has been {w}.", "x", None, None, None, None) for i, w in enumerate(["saved", "save", "deleted", "opened"] * 9)], TM)
     memory = tm.unionByName(extra)
     queries = ["The file has been updated.", "翻訳メモリの管理", "hello", "HELLO", "the cat sat", "The file number 3 has been saved.", "", None, "zzz"]
-    got = {(r["query_id"], r["id"]): r["score"] for r in lookup.fuzzy_lookup(ask(spark, *queries), memory, least, mode, k=None, blocking=blocking).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in lookup.fuzzy_lookup(ask(spark, *queries), memory, least, mode, k=None).collect()}
     want = {}
     for q, text in enumerate(queries):
         for r in memory.collect():
@@ -89,15 +89,22 @@ def test_glossary(spark):
     assert [(r["query_id"], r["id"]) for r in rows] == [(0, 2), (0, 3), (0, 1)]
     fuzzy = lookup.glossary_lookup(ask(spark, "the damge is"), g, 0.7).collect()
     assert [(r["id"], r["score"]) for r in fuzzy] == [(3, pytest.approx(5 / 6))]
-    big = lookup.glossary_hits(ask(spark, "attack damage up"), g, limit_rows=1)
-    assert {r["id"] for r in big.collect()} == {1, 2, 3}
+    both = lookup.glossary_hits(ask(spark, "attack"), g, bidirectional=True)
+    assert {r["id"] for r in both.collect()} == {2}
+    terms = ["ab", "abcdefghij", "kitten sits", "x", "翻訳メモリ", "aaaa"]
+    texts = ["abd", "abcdxfghij", "the kiten sit", "x", "y", "翻訳のメモリ", "aaba", ""]
+    g = spark.createDataFrame([(i, t, "-", None) for i, t in enumerate(terms)], "id int, term string, translation string, cmp string")
+    for least in (0.0, 0.5, 0.6, 0.8, 0.9, 1.0):
+        got = {(r["query_id"], r["id"]): r["score"] for r in lookup.glossary_hits(ask(spark, *texts), g, least).collect()}
+        want = {(i, j): s for i, q in enumerate(texts) for j, t in enumerate(terms) if q and (s := S.substring_score(t, q, least)) >= least and (least < 1 or t in q)}
+        assert got == pytest.approx(want), least
 
 
 def test_upsert(spark):
     m = spark.createDataFrame([(3, "Cat", "猫", 1), (5, "cat", "猫", 0), (9, "dog", None, None)], "id bigint, source string, target string, refcount int")
     new = spark.createDataFrame([(1, "CAT", "猫"), (2, "bird", "鳥"), (3, " bird ", "鳥"), (4, "", "x"), (5, None, None), (6, "cat", "ネコ")], "seq int, source string, target string")
     got = sorted((r["id"], r["source"], r["refcount"]) for r in up.upsert(m, new).collect())
-    assert got == [(3, "Cat", 2), (5, "cat", 0), (9, "dog", 0), (10, "bird", 1), (11, "cat", 0)]
+    assert got == [(3, "Cat", 2), (5, "cat", 0), (9, "dog", None), (10, "bird", 1), (11, "cat", 0)]
     assert up.tallies(up.merged_pairs(m, new)).first().asDict() == {"added": 2, "updated": 2, "total": 4}
     assert sorted(r["id"] for r in up.append(m, new.drop("seq")).collect()) == [3, 5, 9, *range(10, 16)]
     assert up.merged_pairs(m, new.limit(0)).count() == 0
@@ -170,5 +177,26 @@ def test_placement_tables(spark):
 
 def test_no_least_score_reaches_long_texts(spark):
     texts = spark.createDataFrame([("a" * 40_000,), ("b",), ("abc",)], "s string")
-    got = lookup.length_candidates(spark.createDataFrame([("abc",)], "q string"), texts, 0.0).collect()
+    got = lookup.block_scores(spark.createDataFrame([("abc",)], "q string"), texts, 0.0).collect()
     assert sorted(len(r["s"]) for r in got) == [1, 40_000]
+
+
+def test_blocks_equal_strings():
+    import random
+
+    from bitextra.functions import blocks
+
+    r = random.Random(5)
+    words = ["the", "file", "has", "been", "saved", "savd", "deleted", "(stop)", "don't", "x", "保存", "ファイル", "ａ"]
+    base = [" ".join(r.choices(words, k=r.randint(1, 30))) for _ in range(25)]
+    edited = ["".join(c for c in t if r.random() > 0.06) for t in base] + [t.replace("the", "a").strip() for t in base] + [t[7:] + t[:7] for t in base]
+    queries, texts = sorted({*base, "a b"}), sorted({*base, *edited, "", "a", "saved file " * 60})
+    for least, mode in itertools.product((0.0, 0.4, 0.55, 0.7, 0.9), ("auto", "char")):
+        got = {(i, j): s for i, j, s in zip(*map(list, blocks.scored(queries, texts, least, mode)))}
+        want = {}
+        for (i, q), (j, t) in itertools.product(enumerate(queries), enumerate(texts)):
+            if q != t:
+                s = S.fuzzy_score(q, t, least) if mode == "auto" else S.edit_score(q, t, least)
+                if s >= least and min(len(q), len(t)) >= least * max(len(q), len(t)):
+                    want[i, j] = s
+        assert got == want, (least, mode)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitextra.api import Engine
 from bitextra.sources import datasource, formats, tsv
+from bitextra.store import Store
 from bitextra.streaming import lookups as streams
 
 TMX = """<?xml version="1.0"?><tmx version="1.4"><header srclang="{src}"/><body>
@@ -101,3 +102,17 @@ def test_streams(spark, tmp_path):
     assert sorted((r["source"], r["refcount"]) for r in kept["m"].collect()) == [("Hello", 1), ("hallo", 0), ("new", 0)]
     log = spark.createDataFrame([(b, f"B{b}", "v", "o") for b in range(60)], "batch_id int, range string, value string, old_value string")
     assert streams.undo_entries(log).count() == 50
+
+
+def test_store_keeps_versions_for_readers(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/versions.store")
+    store.append(spark.createDataFrame([("a", "b")], "source string, target string"))
+    reader = store.memory
+    store.append(spark.createDataFrame([("c", "d")], "source string, target string"))
+    assert reader.count() == 1 and store.memory.count() == 2
+    # a version without a pointer, as a crash leaves it, changes nothing
+    store.memory.limit(0).write.parquet(f"file://{tmp_path}/versions.store/memory-dead")
+    assert Store.open(spark, f"file://{tmp_path}/versions.store").memory.count() == 2
+    for i in range(4):
+        store.append(spark.createDataFrame([(str(i), "x")], "source string, target string"))
+    assert len(store._versions("memory")) == 3 and store.memory.count() == 6
