@@ -54,6 +54,10 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return looks.record_forms(table(spark, d, "records"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_classes(table(spark, d, "records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.survivors(table(spark, d, "records"), table(spark, d, "memories"))
 
@@ -94,7 +98,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_collapsed": p1_collapsed, "p1_collisions": p1_collisions,
     "p2_found": p2_found, "p2_links": p2_links,
     "p3_found": p3_found, "p3_languages": p3_languages, "p3_passages": p3_passages,
-    "p6_found": p6_found, "p6_forms": p6_forms,
+    "p6_found": p6_found, "p6_forms": p6_forms, "p6_classes": p6_classes,
     "p5_found": p5_found, "p5_golden": p5_golden,
     "p7_ids": p7_ids, "p7_round_trip": p7_round_trip,
     "p8_containers": p8_containers, "p8_fill": p8_fill,

@@ -220,3 +220,15 @@ def test_golden_fills_every_gap(spark, memories):
         group_id=1, id=1, copies=3, refcount_sum=2, source="open file", target="開く", memory="m", context="menu", created="2020-01-01", modified="2019-02-02", created_by=None, modified_by=None,
         reliability=4, validated=True, refcount=2, ingested=None, src_lang="en", tgt_lang="ja", source_cmp="open file",
     )
+
+
+def test_look_forms_and_classes(spark):
+    assert looks.canonical("ＡＢＣ！①") == "abc!1" and looks.canonical("ＴＥＸＴ\u200b\u00a0x") == "text x"
+    for word in ("Тhis", "тhis", "τhe", "Βring", "βring"):
+        assert looks.canonical(word).isascii()
+    # an accented look-alike is one, stored composed or apart; a visible format character stays
+    assert looks.look("Кӧln") == looks.look("Ko\u0308ln") == "K\u00f6ln" and looks.canonical("\u0600a") == "\u0600a"
+    assert looks.look("クり") == looks.look("クリ") and looks.look("！") == "！"
+    r = spark.createDataFrame([(1, "ABC", "x y"), (2, "ABC", "x y"), (3, "ＡBC", "x y"), (4, "AВC", "x\u00a0y"), (5, "abc", "x y"), (6, None, "x y")], "id bigint, source string, target string")
+    assert {tuple(x) for x in looks.look_alikes(r).collect()} == {(1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
+    assert {tuple(x) for x in looks.look_classes(r).collect()} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4)}
