@@ -1,15 +1,17 @@
 """Text figures of each document, and whether it is running prose or a list, table or junk.
 
-A document is cut into blocks: list entries, table rows, markup and data residue are told by layout rules, not by
-profiles; everything else is joined to running blocks (hard-wrapped lines belong together).  Of these, repeated words,
-few letters and short enumerations are again told by rules.  For the others, function words and character classes are
-compared through Jensen-Shannon divergence to each language's prose profile and to a text with the block's own classes
-but no function words and no punctuation; the nearer decides only between prose and not prose.  Which of list or junk
-text that is not prose becomes is a rule; there are no profiles of lists, tables or junk.
-A document is prose if at least half of its non-blank characters are.
-
-Prose profiles come from the common-word table and at most ``MAX_SAMPLES`` labelled samples.  The figures are null for
-null texts; empty and blank texts have zero counts, null shares and the kind 'blank'.
+A document is cut into blocks of neighbouring lines of one layout; hard-wrapped lines of sentences belong together.
+Every block is assigned the nearest structural profile.  A profile has a layout, shares of function words by rank,
+shares of character classes and a way to end; the distance is the weighted sum of the Jensen-Shannon divergences of
+these.  Prose has a profile for each language, with the function words of that language; lists have profiles of marked
+entries, of items between commas and of bare lines; tables of rows; junk of markup, of data residue, of repeated words
+and of runs without sentences.  A document is prose if at least half of its non-blank characters are.
+
+Prose profiles come from the common-word table and at most ``MAX_SAMPLES`` labelled samples; the profiles without
+sentences have no function words and the block's own character classes without punctuation.  The figures are null for
+null texts; empty and blank texts have zero counts, null shares and the kind 'blank'.  In Chinese and Japanese, which
+part no words by blanks, common word pieces count as words, and what is left is cut where the script changes and into
+runs of at most two Han characters.
 """
 
 from __future__ import annotations
@@ -29,14 +31,19 @@ MAX_SAMPLES = 20_000
 #: common words of a language; those after the last of ``RANKS`` but one are one group, so far fewer would do
 MAX_WORDS = 20_000
 UNSPACED = frozenset({"ja", "zh", "ko"})
-#: weight of the function words against the character classes
-WORDS, CLASSES = 0.75, 0.25
+#: weights of the function words, the character classes, the layout and the ending
+WORDS, CLASSES, LAYOUT, ENDING = 0.75, 0.25, 1.0, 0.001
 #: function words are told apart by these ranks only
 RANKS = (4, 12, 1_000)
-#: how much nearer a profile without sentences must be for blocks of short lines that never end a sentence
-SHORT_LINES = 0.04
-#: the same for other blocks, without and with the end of a statement; short prose scatters around 0
-LEAST, LEAST_STOPPED = 0.0, -0.06
+#: what is added to the distance of prose for several lines that never end a sentence, for one, and with the end of a
+#: statement; short prose scatters around 0
+SHORT_LINES, LEAST, LEAST_STOPPED = 0.04, 0.0, -0.06
+#: structural profiles without sentences: layout and kind, and for plain layouts the shares of endings (several lines,
+#: one short line, a long one with separators, a long one, one without blanks)
+STRUCTURES = (
+    ("entry", "list", None), ("items", "list", None), ("row", "table", None), ("markup", "junk", None), ("data", "junk", None), ("repeat", "junk", None),
+    ("run", "list", (0.4, 0.3, 0.3, 0.0, 0.0)), ("run", "junk", (0.0, 0.0, 0.0, 0.5, 0.5)),
+)
 
 _ENTRY = re.compile(r"\s*(?:[-*•‣◦▪·–—+>]|\[[ xX✓✔]?\]|[☐☑☒]|\(?\d{1,4}[.)）、](?!\d)|\(?[A-Za-z][.)](?=\s)|[①-⑳])\s*\S")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:#\d+|[a-z]+);|<!--.*?-->")
@@ -144,21 +151,32 @@ class Prose:
         best = "ko" if hangul > kana + han else "ja" if kana * 5 > han else "zh"
         return [best] if best in self.function else []
 
-    def sentences(self, text: str, found: Counter | None = None) -> tuple[float, str | None]:
-        """How much nearer the text is to prose than to text without sentences, and in which language."""
+    def nearest(self, text: str, layout: str, ending: int, offset: float, found: Counter | None = None) -> tuple[str, str | None]:
+        """Kind and, for prose, language of the profile nearest to a block."""
         lower, shape = text.lower(), _classes(text)
         flat = [x if k not in (0, 1) else 0.0 for k, x in enumerate(shape)]
         total = sum(flat) or 1.0
-        bare_shape = divergence(shape, [x / total for x in flat])
-        best, lang = -1.0, None
-        for at in self.candidates(shape):
+        unpunctuated = CLASSES * divergence(shape, [x / total for x in flat])
+        best, kind, lang = float("inf"), "junk", None
+        plain = LAYOUT * (layout != "run") + offset
+        languages = self.candidates(shape)
+        wordless = 0.0 if not languages else float("inf")
+        for at in languages:
             words = self.distribution(lower, at, found)
-            none = [0.0] * (len(words) - 1) + [1.0]
-            prose = WORDS * divergence(words, self.function[at]) + CLASSES * divergence(shape, self.classes[at])
-            other = WORDS * divergence(words, none) + CLASSES * bare_shape
-            if other - prose > best:
-                best, lang = other - prose, at
-        return best, lang
+            prose = plain + WORDS * divergence(words, self.function[at]) + CLASSES * divergence(shape, self.classes[at])
+            bare = WORDS * divergence(words, [0.0] * (len(words) - 1) + [1.0])
+            # the language is that in which prose is nearest against no prose
+            if prose - bare < best:
+                best, lang, wordless, near = prose - bare, at, bare, prose
+        near = near if languages else float("inf")
+        own = [float(k == ending) for k in range(5)]
+        best = near
+        kind = "prose"
+        for at, name, ends in STRUCTURES:
+            d = LAYOUT * (at != layout) + wordless + unpunctuated + (ENDING * (divergence(own, list(ends)) - 1) if ends else 0.0)
+            if d < best:
+                best, kind = d, name
+        return (kind, lang) if kind == "prose" else (kind, None)
 
 
 def _delimited(lines: list[str]) -> list[bool]:
@@ -184,7 +202,7 @@ def _short(line: str) -> bool:
 
 
 def blocks(text: str, everywhere: frozenset[str] = frozenset()) -> list[tuple[str, str, int]]:
-    """(layout, text, lines): layout is 'list', 'table', 'markup', 'data' or 'run'; blank lines are left out."""
+    """(layout, text, lines): layout is 'entry', 'row', 'markup', 'data' or 'run'; blank lines are left out."""
     lines = [x for x in text.splitlines() if x and not x.isspace()]
     if not lines:
         return []
@@ -199,11 +217,11 @@ def blocks(text: str, everywhere: frozenset[str] = frozenset()) -> list[tuple[st
                 kind = "markup"
         if kind == "run":
             if row or _RULE.match(s):
-                kind = "table"
+                kind = "row"
             elif s[0] in "{[" and ('":' in s or '",' in s) or s[0] in "}]" and len(s) < 3:
                 kind = "data"
             elif _ENTRY.match(s):
-                kind = "list"
+                kind = "entry"
             elif (" " not in s and len(s) > 12 and s.isascii()) or sum(map(str.isalpha, s)) * 2 < len(s) - s.count(" "):
                 kind = "data"
         kinds.append(kind)
@@ -218,15 +236,20 @@ def blocks(text: str, everywhere: frozenset[str] = frozenset()) -> list[tuple[st
             running.extend(entries)
         entries.clear()
 
+    last = ""
     for line, kind in zip(lines, kinds):
         if kind != "run":
             close()
-            out.append((kind, line, 1))
+            if out and out[-1][0] == kind == last:
+                out[-1] = (kind, f"{out[-1][1]}\n{line}", out[-1][2] + 1)
+            else:
+                out.append((kind, line, 1))
         elif not _STOP.search(line) and (_short(line) or everywhere.isdisjoint(line.lower().split()) and line.isascii()):
             entries.append(line.strip())
         else:
             close()
             running.append(line.strip())
+        last = kind
     close()
     if running:
         out.append(("run", "\n".join(running), len(running)))
@@ -252,31 +275,37 @@ def kinds(text: str, prose: Prose) -> tuple[dict[str, int], Counter]:
     langs: Counter = Counter()
     for layout, block, n in blocks(text, prose.everywhere):
         size = sum(map(len, block.split()))
-        if layout in ("list", "table"):
-            got[layout] += size
-            continue
-        if layout in ("markup", "data"):
-            got["junk"] += size
-            continue
         plain = _TAG.sub(" ", block) if "<" in block or "&" in block else block
         letters = sum(map(str.isalpha, plain))
         found = Counter(_WORD.findall(plain.lower()))
-        if letters * 2 < size or _repeats(found):
-            got["junk"] += size
-            continue
-        near, lang = prose.sentences(plain, found)
         stopped = _STOP.search(plain) is not None
-        if _enumerates(plain, stopped):
-            got["list"] += size
-        elif near > (LEAST_STOPPED if stopped else SHORT_LINES if n > 1 else LEAST):
-            got["prose"] += size
-            langs[lang] += size
+        if layout == "run":
+            layout = "data" if letters * 2 < size else "repeat" if _repeats(found) else "items" if _enumerates(plain, stopped) else "run"
+        if len(plain.split()) * 25 <= letters:
+            ending = 4
         else:
-            spaced = len(plain.split()) * 25 > letters
-            got["list" if spaced and (n > 1 or letters < 60 or not {",", "、", "/"}.isdisjoint(plain)) else "junk"] += size
+            ending = 0 if n > 1 else 1 if letters < 60 else 3 if {",", "、", "/"}.isdisjoint(plain) else 2
+        kind, lang = prose.nearest(plain, layout, ending, LEAST_STOPPED if stopped else SHORT_LINES if n > 1 else LEAST, found)
+        got[kind] += size
+        if lang is not None:
+            langs[lang] += size
     return got, langs
 
 
+#: runs of one script in texts without blanks, Han characters by two
+_PARTS = re.compile(r"[㐀-鿿]{1,2}|[ぁ-ゟ]+|[゠-ヿ]+|[^\W\d_㐀-鿿ぁ-ヿ]+")
+
+
+def unspaced_words(lower: str, pieces: re.Pattern | None) -> list[str]:
+    """Words of a text that does not part them: common pieces, and what is left by script."""
+    out = []
+    for run in _WORD.findall(lower):
+        rest = pieces.sub(lambda m: f" {m[0]} ", run).split() if pieces else [run]
+        for part in rest:
+            out += [part] if pieces and pieces.fullmatch(part) else _PARTS.findall(part)
+    return out
+
+
 _FIGURES = (
     ("words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("lines", pa.int64()),
     ("ended_lines", pa.float64()), ("common_words", pa.float64()), ("prose_share", pa.float64()), ("kind", pa.string()), ("lang", pa.string()),
@@ -297,7 +326,7 @@ def figures(text: str | None, prose: Prose) -> tuple:
     lang = langs.most_common(1)[0][0] if langs else None
     lower = text.lower()
     unspaced = lang in UNSPACED or lang is None and len(_UNSPACED.findall(text)) * 3 > total
-    words = _WORD.findall(lower)
+    words = unspaced_words(lower, prose.pieces.get(lang)) if unspaced and lang != "ko" else _WORD.findall(lower)
     length = sum(map(len, words))
     if unspaced and lang in prose.pieces:
         common = sum(map(len, prose.pieces[lang].findall(lower))) / length if length else None

@@ -117,3 +117,15 @@ def test_long_word_tables_keep_every_language(spark):
     words = words.unionByName(spark.createDataFrame([("zh", "的", 1), ("zh", "了", 2)], "lang string, word string, freq_rank int"))
     prose = quality.fit(words, spark.createDataFrame([("zh", "我们的文件已经保存了。")], "lang string, text string"))
     assert list(prose.words["zh"]) == ["的", "了"] and "zh" in prose.function and prose.words["de"]["w0"] == 0
+
+
+def test_every_block_gets_the_nearest_profile(monkeypatch):
+    words = [("en", w) for w in "the of and to a in is that it was for on are with as".split()] + [("zh", "我们"), ("zh", "的")]
+    prose = quality.Prose(words, [("en", "It was the best of times and it is a rule that the news is on the front page, as it was in the past."), ("zh", "我们的文件已经保存了。")])
+    text = "- it is the rule of the house that the door to the garden was left open, and it is as it was.\n"
+    assert quality.kinds(text, prose)[0]["list"] > 0
+    # without the weight of the layout the same entry is nearest to prose: no rule decides before the divergence
+    monkeypatch.setattr(quality, "LAYOUT", 0.0)
+    assert quality.kinds(text, prose)[0]["prose"] > 0
+    assert quality.unspaced_words("我们保存文件了", prose.pieces["zh"]) == ["我们", "保存", "文件", "了"]
+    assert quality.unspaced_words("ファイルを保存", None) == ["ファイル", "を", "保存"]
