@@ -1,13 +1,17 @@
 """One UTC instant for values written in many notations.
 
 ``with_interpretations`` turns a string column into the array of all instants it may name (Column expressions only).
-``resolve_instants`` picks one per value: a Viterbi pass over each group's rows in arrival order, which charges a
-change of notation and a step back in time between neighbours, on top of each reading's own cost.
-
-The rows are range-partitioned by (group, arrival, id), so a group of any size is spread over many tasks.  Each
-task condenses its runs into a small cost matrix between the readings of their first and last row; the matrices of
-all tasks (at most two runs a partition and field) are chained on the driver, and every task then decodes its own
-rows with the ends fixed.  The result equals one pass over the whole group.
+``resolve_instants`` picks one per value: a Viterbi pass over each group's rows in arrival order.  Its hidden state is the
+chosen reading and the order in which the group writes slash dates at that point; it charges a switch of that order, a
+step back in time between neighbours, an instant after the record's arrival, and what speaks against a reading by itself.
+A declared order is a prior: what contradicts it costs a little at every value and more at the start, so that one
+sequence of values may outweigh it, and a single neighbour may not.
+
+The rows are range-partitioned by (group, arrival, id), so a group of any size is spread over many tasks of bounded
+size.  Only rows with a choice, slash dates and the ends of a run are steps of the pass; all others have one instant and
+charge their neighbours.  Each task condenses its runs into a small cost matrix between the states of their first and last
+row; the matrices of all tasks (at most two runs a partition and field) are chained on the driver, and every task then
+decodes its own rows with the ends fixed.  The result equals one pass over the whole group.
 """
 
 from __future__ import annotations
@@ -38,9 +42,12 @@ AMBIGUOUS = {
     "BST": ((1, "Europe/.*|GB"), (6, "Asia/Dhaka"), (11, "Pacific/Bougainville")),
 }
 
-#: cost of a reading that contradicts what is declared for its group; no sequence of neighbours outweighs it
-CONTRARY = 1e6
-SWITCH, BACK = 1.0, 1.0
+#: cost of a slash date read against the declared order; of starting in the other order; of a switch of the order
+CONTRARY, START, SWITCH = 0.25, 12.0, 12.0
+#: cost of a step back in time between neighbours, and of an instant more than a day after the arrival
+BACK, AHEAD = 1.0, 1.0
+#: rows of a task, about
+ROWS = 500_000
 
 _TIME = r"\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?"
 _HALF = r"([AaPp][Mm]|上午|下午|午前|午後|오전|오후)"
@@ -152,7 +159,7 @@ def with_interpretations(df: DataFrame, value: str, out: str, tz: Column, date_o
         return [known, *several]
 
     def contrary(o: str) -> Column:
-        return F.when(c["o"] == o, 0.0).when(c["o"].isin("mdy", "dmy"), CONTRARY).otherwise(0.25 if o == "mdy" else 0.3)
+        return F.when(c["o"] == o, 0.0).when(c["o"].isin("mdy", "dmy"), CONTRARY).otherwise(0.0 if o == "mdy" else 0.01)
 
     code = F.lit(-1)
     for k, x in FORMATS.items():
@@ -172,21 +179,26 @@ def declared_instant(readings: Column) -> Column:
     return F.array_min(F.transform(readings, lambda x: F.struct(x["cost"].alias("cost"), x["us"].alias("us"))))["us"]
 
 
-def _step(us0: np.ndarray, f0: np.ndarray, us1: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    """Costs between the readings of two neighbouring rows."""
-    return SWITCH * (f0[:, None] != f1[None, :]) + BACK * (us1[None, :] < us0[:, None])
+#: states of a step: instants, slash order in force (0 mdy, 1 dmy), costs, place of the reading, and whether it follows the step before directly
+Step = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]
+
 
+def _between(us0: np.ndarray, o0: np.ndarray, us1: np.ndarray, o1: np.ndarray, adjacent: bool) -> np.ndarray:
+    """Costs between the states of two steps."""
+    out = SWITCH * (o0[:, None] != o1[None, :])
+    return out + BACK * (us1[None, :] < us0[:, None]) if adjacent else out
 
-def chain(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int | None = None, last: int | None = None) -> list[int]:
-    """Cheapest choice of one reading a row; ``first`` and ``last`` fix the ends. rows: (us, fmt, cost) of each."""
-    score = rows[0][2].astype(float).copy()
+
+def chain(steps: list[Step], first: int | None = None, last: int | None = None) -> list[int]:
+    """Cheapest choice of one state a step; ``first`` and ``last`` fix the ends."""
+    score = steps[0][2].astype(float).copy()
     if first is not None:
         score[np.arange(len(score)) != first] = np.inf
     back = []
-    for (u0, f0, _), (u1, f1, c1) in zip(rows, rows[1:]):
-        t = score[:, None] + _step(u0, f0, u1, f1)
+    for x, y in zip(steps, steps[1:]):
+        t = score[:, None] + _between(x[0], x[1], y[0], y[1], y[4])
         back.append(t.argmin(0))
-        score = t.min(0) + c1
+        score = t.min(0) + y[2]
     at = int(score.argmin()) if last is None else last
     out = [at]
     for b in reversed(back):
@@ -195,14 +207,18 @@ def chain(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int | No
     return out[::-1]
 
 
-def matrix(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Least cost between each reading of the first row and each of the last, ends included."""
-    m = np.where(np.eye(len(rows[0][2]), dtype=bool), rows[0][2][None, :], np.inf)
-    for (u0, f0, _), (u1, f1, c1) in zip(rows, rows[1:]):
-        m = (m[:, :, None] + _step(u0, f0, u1, f1)[None]).min(1) + c1[None]
+def matrix(steps: list[Step]) -> np.ndarray:
+    """Least cost between each state of the first step and each of the last, ends included."""
+    m = np.where(np.eye(len(steps[0][2]), dtype=bool), steps[0][2][None, :], np.inf)
+    for x, y in zip(steps, steps[1:]):
+        m = (m[:, :, None] + _between(x[0], x[1], y[0], y[1], y[4])[None]).min(1) + y[2][None]
     return m
 
 
+def _start(orders: np.ndarray, declared: int) -> np.ndarray:
+    return START * ((orders != declared) & (declared >= 0))
+
+
 class _Column:
     """The readings of one field of a batch as flat arrays."""
 
@@ -213,9 +229,30 @@ class _Column:
         self.us, self.fmt, self.cost = (np.asarray(flat.field(k)) for k in ("us", "fmt", "cost"))
         self.n = np.diff(self.at)
 
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = slice(self.at[i], self.at[i + 1])
-        return self.us[s], self.fmt[s], self.cost[s]
+    def steps(self, a: int, b: int) -> tuple[list[Step], np.ndarray]:
+        """The steps of rows a to b, and their rows: slash dates, rows with a choice, and the first and last with a reading."""
+        idx = np.flatnonzero(self.n[a:b]) + a
+        if not len(idx):
+            return [], idx
+        at, n = self.at[idx], self.n[idx]
+        slash = self.fmt[at] >= FORMATS["slash_mdy"]
+        live = slash | (n > 1)
+        live[[0, -1]] = True
+        us = self.us[at]
+        out = []
+        for k in np.flatnonzero(live):
+            s = slice(at[k], at[k] + n[k])
+            own, cost, place = self.us[s], self.cost[s].astype(float), np.arange(n[k])
+            if k and not live[k - 1]:
+                cost = cost + BACK * (own < us[k - 1])
+            if k + 1 < len(idx) and not live[k + 1]:
+                cost = cost + BACK * (us[k + 1] < own)
+            if slash[k]:
+                order = self.fmt[s] - FORMATS["slash_mdy"]
+            else:  # the order in force goes on past the row
+                own, cost, place, order = np.tile(own, 2), np.tile(cost, 2), np.tile(place, 2), np.repeat([0, 1], n[k])
+            out.append((own, order, cost, place, bool(k and live[k - 1])))
+        return out, idx[live]
 
 
 def _runs(group: pa.ChunkedArray) -> list[tuple[object, int, int]]:
@@ -233,20 +270,28 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got) if got else None
 
 
-def resolve_instants(df: DataFrame, id_col: str, group_col: str, arrival: list[str], fields: dict[str, tuple[str, Column, Column]], wanted: dict[str, Column] | None = None) -> DataFrame:
+def resolve_instants(
+    df: DataFrame, id_col: str, group_col: str, arrival: list[str], fields: dict[str, tuple[str, Column, Column]],
+    wanted: dict[str, Column] | None = None, arrived: Column | None = None,
+) -> DataFrame:
     """One row per record and field with its chosen instant: id, field, utc_us.
 
     ``fields`` maps a name to its string column, zone and date order (as in ``with_interpretations``); records are ordered by ``arrival`` inside ``group_col``.
-    ``wanted`` limits what is returned, not what takes part in the choice.
+    ``wanted`` limits what is returned, not what takes part in the choice; ``arrived`` are microseconds since 1970 (UTC).
     Values without a reading give a row with null ``utc_us``.  Rows with a null group form a group of their own.
     An empty table gives an empty result.
     """
     names = list(fields)
-    raw = df.repartitionByRange(*[F.col(c) for c in (group_col, *arrival, id_col)]).sortWithinPartitions(group_col, *arrival, id_col)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS + 1)
+    raw = df.repartitionByRange(parts, *[F.col(c) for c in (group_col, *arrival, id_col)]).sortWithinPartitions(group_col, *arrival, id_col)
     for name, (value, tz, order) in fields.items():
         raw = with_interpretations(raw, value, f"r_{name}", tz, order)
+        if arrived is not None:
+            late = lambda x: F.when(x["us"] > arrived + _DAY, AHEAD).otherwise(0.0)
+            raw = raw.withColumn(f"r_{name}", F.transform(f"r_{name}", lambda x: F.struct(x["us"].alias("us"), x["fmt"].alias("fmt"), (x["cost"] + late(x)).alias("cost"))))
     cols = [F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), *[F.col(f"r_{k}") for k in names]]
     cols += [F.coalesce((wanted or {}).get(k, F.lit(True)), F.lit(False)).alias(f"w_{k}") for k in names]
+    cols += [F.when(o == "mdy", 0).when(o == "dmy", 1).otherwise(-1).alias(f"o_{k}") for k, (_, _, o) in fields.items()]
     rows = checkpoint(raw.select(*cols))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +302,15 @@ def resolve_instants(df: DataFrame, id_col: str, group_col: str, arrival: list[s
             for k, (grp, a, b) in enumerate(runs):
                 if 0 < k < len(runs) - 1:
                     continue
-                seq = [col.row(i) for i in np.flatnonzero(col.n[a:b]) + a]
+                seq, _ = col.steps(a, b)
                 if seq:
-                    out.append((name, grp, part, *(x.tolist() for x in (*seq[0][:2], *seq[-1][:2], matrix(seq).ravel()))))
-        schema = pa.schema([("field", pa.string()), ("grp", pa.string()), ("part", pa.int32()), ("u0", pa.list_(pa.int64())), ("f0", pa.list_(pa.int32())), ("u1", pa.list_(pa.int64())), ("f1", pa.list_(pa.int32())), ("m", pa.list_(pa.float64()))])
+                    out.append((name, grp, part, t[f"o_{name}"][a].as_py(), *(x.tolist() for x in (*seq[0][:2], *seq[-1][:2], matrix(seq).ravel()))))
+        schema = pa.schema([("field", pa.string()), ("grp", pa.string()), ("part", pa.int32()), ("declared", pa.int32()), ("u0", pa.list_(pa.int64())), ("o0", pa.list_(pa.int32())), ("u1", pa.list_(pa.int64())), ("o1", pa.list_(pa.int32())), ("m", pa.list_(pa.float64()))])
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], s.type) for i, s in enumerate(schema)], schema=schema)
 
-    # at most two rows a partition and field
-    got = rows.mapInArrow(edges, "field string, grp string, part int, u0 array<bigint>, f0 array<int>, u1 array<bigint>, f1 array<int>, m array<double>").collect()
-    ends = _chain_runs(got)
+    # at most two rows a partition and field, so its size is that of the plan, not of the data
+    got = rows.mapInArrow(edges, "field string, grp string, part int, declared int, u0 array<bigint>, o0 array<int>, u1 array<bigint>, o1 array<int>, m array<double>").collect()
+    ends = df.sparkSession.sparkContext.broadcast(_chain_runs(got))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part = _table(batches), TaskContext.get().partitionId()
@@ -275,12 +320,14 @@ def resolve_instants(df: DataFrame, id_col: str, group_col: str, arrival: list[s
         for name in names:
             col = _Column(t[f"r_{name}"])
             pick = col.at[:-1].copy()
-            if (col.n > 1).any():
-                for grp, a, b in runs:
-                    live = np.flatnonzero(col.n[a:b]) + a
-                    if len(live) and (col.n[live] > 1).any():
-                        first, last = ends.get((name, grp, part), (None, None))
-                        pick[live] += _decode(col, live, first, last)
+            for grp, a, b in runs:
+                seq, at = col.steps(a, b)
+                if not (col.n[at] > 1).any():
+                    continue
+                first, last = ends.value.get((name, grp, part), (None, None))
+                if first is None:
+                    seq[0] = (*seq[0][:2], seq[0][2] + _start(seq[0][1], t[f"o_{name}"][a].as_py()), *seq[0][3:])
+                pick[at] += [int(x[3][k]) for x, k in zip(seq, chain(seq, first, last))]
             known = col.n > 0
             us = np.zeros(len(pick), np.int64)
             us[known] = col.us[pick[known]]
@@ -291,25 +338,8 @@ def resolve_instants(df: DataFrame, id_col: str, group_col: str, arrival: list[s
     return rows.mapInArrow(decode, f"id {id_type}, field string, utc_us bigint")
 
 
-def _decode(col: _Column, live: np.ndarray, first: int | None, last: int | None) -> np.ndarray:
-    """Choices of the rows ``live``; rows with one reading split the sequence into independent pieces."""
-    out = np.zeros(len(live), np.int64)
-    open_rows = np.flatnonzero(col.n[live] > 1)
-    k = 0
-    while k < len(open_rows):
-        a = b = int(open_rows[k])
-        while k + 1 < len(open_rows) and open_rows[k + 1] == b + 1:
-            k += 1
-            b += 1
-        k += 1
-        lo, hi = max(a - 1, 0), min(b + 1, len(live) - 1)
-        seq = [col.row(int(i)) for i in live[lo : hi + 1]]
-        out[lo : hi + 1] = chain(seq, first if lo == 0 else None, last if hi == len(live) - 1 else None)
-    return out
-
-
 def _chain_runs(got: list) -> dict[tuple, tuple[int, int]]:
-    """The readings at both ends of every run that touches a partition's edge."""
+    """The states at both ends of every run that touches a partition's edge."""
     by: dict[tuple, list] = {}
     for r in got:
         by.setdefault((r["field"], r["grp"]), []).append(r)
@@ -317,9 +347,10 @@ def _chain_runs(got: list) -> dict[tuple, tuple[int, int]]:
     for key, runs in by.items():
         runs.sort(key=lambda r: r["part"])
         mats = [np.array(r["m"]).reshape(len(r["u0"]), len(r["u1"])) for r in runs]
+        mats[0] = mats[0] + _start(np.array(runs[0]["o0"]), runs[0]["declared"])[:, None]
         score, back = mats[0].min(0), [(None, mats[0].argmin(0))]
         for r0, r1, m in zip(runs, runs[1:], mats[1:]):
-            enter = score[:, None] + _step(*(np.array(r0[k]) for k in ("u1", "f1")), *(np.array(r1[k]) for k in ("u0", "f0")))
+            enter = score[:, None] + _between(*(np.array(r0[k]) for k in ("u1", "o1")), *(np.array(r1[k]) for k in ("u0", "o0")), True)
             total = enter.min(0)[:, None] + m
             back.append((enter.argmin(0), total.argmin(0)))
             score = total.min(0)
@@ -331,22 +362,36 @@ def _chain_runs(got: list) -> dict[tuple, tuple[int, int]]:
     return ends
 
 
-def normalised_instants(records: DataFrame, memories: DataFrame, rewritten_only: bool = False) -> DataFrame:
+def normalised_instants(records: DataFrame, memories: DataFrame, rewritten_only: bool = False, withheld: bool = False) -> DataFrame:
     """created and modified of every record as UTC microseconds: id, field, utc_us.
 
     ``rewritten_only`` leaves out values already in the canonical notation and values that name no instant.
+    ``withheld`` leaves the declared orders aside, so that only the sequence tells them.
     Values that name no instant (null, blank, placeholder words, impossible dates) give null.  Records of an unknown
-    memory are read as UTC with the cheapest slash order.  Further columns of either table are ignored.
+    memory are read as UTC, their slash dates as their sequence tells.  Further columns of either table are ignored.
     """
-    clock = memories.select(F.col("memory").alias("_m"), F.col("tz").alias("_tz"), F.col("date_order").alias("_o")).dropDuplicates(["_m"])
+    order = F.lit(None).cast("string") if withheld else F.col("date_order")
+    clock = memories.select(F.col("memory").alias("_m"), F.col("tz").alias("_tz"), order.alias("_o")).dropDuplicates(["_m"])
     r = records.select("id", "memory", "ingested", "created", "modified")
     r = r.join(clock, r["memory"] == clock["_m"], "left")
     both = ("created", "modified")
+    dated = records.schema["ingested"].dataType.typeName().startswith("timestamp")
     out = resolve_instants(
         r, "id", "memory", ["ingested"],
         {k: (k, F.col("_tz"), F.col("_o")) for k in both},
         {k: ~F.coalesce(F.col(k).rlike(CANONICAL), F.lit(True)) for k in both} if rewritten_only else None,
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(records.schema["ingested"].dataType), F.col("ingested")) if dated else None,
     )
     return out.filter(F.col("utc_us").isNotNull()) if rewritten_only else out
 
 
+def learned_orders(records: DataFrame, memories: DataFrame) -> DataFrame:
+    """memory, field, declared, values, as_declared: slash dates with two readings, and how many are read as the memory
+    declares when its declaration is withheld and only the sequence of the values tells."""
+    clock = memories.filter("date_order IN ('mdy', 'dmy')").select("memory", "tz", F.col("date_order").alias("declared")).dropDuplicates(["memory"])
+    long = records.select("id", "memory", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in ("created", "modified")])).alias("x"))
+    long = long.select("id", "memory", "x.*").filter(F.col("value").rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}")).join(clock, "memory")
+    open_ = with_interpretations(long, "value", "r", F.col("tz"), F.col("declared")).filter(F.array_max("r.us") > F.array_min("r.us"))
+    open_ = open_.select("id", "memory", "field", "declared", declared_instant(F.col("r")).alias("us"))
+    got = open_.join(normalised_instants(records, memories, withheld=True), ["id", "field"])
+    return got.groupBy("memory", "field", "declared").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("us") == F.col("utc_us")).alias("as_declared"))

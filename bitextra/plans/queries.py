@@ -66,6 +66,11 @@ def p4_instants(spark, d):
     return timestamps.normalised_instants(table(spark, d, "records"), table(spark, d, "memories"))
 
 
+@query()
+def p4_withheld(spark, d):
+    return timestamps.learned_orders(table(spark, d, "records"), table(spark, d, "memories"))
+
+
 # text functions
 
 

@@ -48,17 +48,17 @@ def test_readings(spark):
     assert {CASES[i][0]: at for i, at in got.items()} == dict(CASES)
 
 
-def _random_rows(rng, n):
-    rows = []
+def _random_steps(rng, n):
+    steps = []
     for _ in range(n):
         k = rng.choice((1, 1, 2, 3))
-        rows.append((np.array(sorted(rng.sample(range(50), k))), np.array([rng.randint(0, 2) for _ in range(k)]), np.array([rng.choice((0.0, 0.25, 0.5)) for _ in range(k)])))
-    return rows
+        steps.append((np.array(sorted(rng.sample(range(50), k))), np.array([rng.randint(0, 1) for _ in range(k)]), np.array([rng.choice((0.0, 0.25, 0.5)) for _ in range(k)]), np.arange(k), True))
+    return steps
 
 
-def _cost(rows, pick):
-    total = sum(r[2][p] for r, p in zip(rows, pick))
-    for (a, p), (b, q) in zip(zip(rows, pick), zip(rows[1:], pick[1:])):
+def _cost(steps, pick, declared):
+    total = sum(r[2][p] for r, p in zip(steps, pick)) + ts.START * (steps[0][1][pick[0]] != declared)
+    for (a, p), (b, q) in zip(zip(steps, pick), zip(steps[1:], pick[1:])):
         total += ts.SWITCH * (a[1][p] != b[1][q]) + ts.BACK * (b[0][q] < a[0][p])
     return total
 
@@ -66,17 +66,64 @@ def _cost(rows, pick):
 def test_chained_chunks_cost_as_one_pass():
     rng = random.Random(7)
     for _ in range(60):
-        rows = _random_rows(rng, rng.randint(2, 40))
-        whole = ts.chain(rows)
-        cut = sorted(rng.sample(range(1, len(rows)), min(3, len(rows) - 1)))
-        chunks = [rows[a:b] for a, b in zip([0, *cut], [*cut, len(rows)])]
+        steps = _random_steps(rng, rng.randint(2, 40))
+        declared = rng.randint(0, 1)
+        start = (*steps[0][:2], steps[0][2] + ts._start(steps[0][1], declared), *steps[0][3:])
+        whole = ts.chain([start, *steps[1:]])
+        cut = sorted(rng.sample(range(1, len(steps)), min(3, len(steps) - 1)))
+        chunks = [steps[a:b] for a, b in zip([0, *cut], [*cut, len(steps)])]
         runs = [
-            {"field": "f", "grp": "g", "part": i, "u0": list(c[0][0]), "f0": list(c[0][1]), "u1": list(c[-1][0]), "f1": list(c[-1][1]), "m": list(ts.matrix(c).ravel())}
+            {"field": "f", "grp": "g", "part": i, "declared": declared, "u0": list(c[0][0]), "o0": list(c[0][1]), "u1": list(c[-1][0]), "o1": list(c[-1][1]), "m": list(ts.matrix(c).ravel())}
             for i, c in enumerate(chunks)
         ]
         ends = ts._chain_runs(runs)
         pick = [p for i, c in enumerate(chunks) for p in ts.chain(c, *ends["f", "g", i])]
-        assert _cost(rows, pick) == pytest.approx(_cost(rows, whole))
+        assert _cost(steps, pick, declared) == pytest.approx(_cost(steps, whole, declared))
+
+
+def test_one_task_or_many(spark):
+    """The choice does not depend on how the rows are cut into tasks, and is the cheapest of all."""
+    rng = random.Random(3)
+    values = [f"{rng.randint(1, 12)}/{rng.randint(1, 14)}/2015 10:00:00" if rng.random() < 0.6 else f"2015-{rng.randint(1, 12):02}-{rng.randint(1, 12):02}" for _ in range(120)]
+    r = spark.createDataFrame([(i, "m", i, v, None) for i, v in enumerate(values)], "id int, memory string, ingested int, created string, modified string")
+    m = spark.createDataFrame([("m", "UTC", None)], "memory string, tz string, date_order string")
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({x["id"]: x["utc_us"] for x in ts.normalised_instants(r, m).filter("field = 'created'").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1] and len(got[0]) == 120
+
+
+def _year(order, n=240):
+    """Slash dates of days in order, as a client that writes ``order`` would write them, all with a day of 12 at most."""
+    days = [datetime(2015, 1 + k * 12 // n, 1 + (k * 12 * 12 // n) % 12, 9, k % 60, tzinfo=UTC) for k in range(n)]
+    days.sort()
+    return days, [f"{d.month}/{d.day}/{d.year} 9:{d.minute:02}:00" if order == "mdy" else f"{d.day}/{d.month}/{d.year} 9:{d.minute:02}:00" for d in days]
+
+
+@pytest.mark.parametrize("order", ["mdy", "dmy"])
+@pytest.mark.parametrize("declared", [None, "mdy", "dmy"])
+def test_sequence_tells_the_order(spark, order, declared):
+    """Steps back in time decide, against a wrong declaration too; one contrary neighbour among others does not."""
+    days, values = _year(order)
+    r = spark.createDataFrame([(i, "m", d, v, None) for i, (d, v) in enumerate(zip(days, values))], "id int, memory string, ingested timestamp, created string, modified string")
+    m = spark.createDataFrame([("m", "UTC", declared)], "memory string, tz string, date_order string")
+    got = {x["id"]: x["utc_us"] for x in ts.normalised_instants(r, m).filter("field = 'created'").collect()}
+    assert got == {i: int((d - EPOCH) / timedelta(microseconds=1)) for i, d in enumerate(days)}
+
+
+def test_a_switch_of_order_is_found(spark):
+    """A client that changes its notation once is read in both; where it changes is told by unambiguous days."""
+    days, before = _year("mdy", 120)
+    later = [d + timedelta(days=366) for d in days]
+    after = [f"{d.day}/{d.month}/{d.year} 9:{d.minute:02}:00" for d in later]
+    r = spark.createDataFrame([(i, "m", d, v, None) for i, (d, v) in enumerate(zip(days + later, before + after))], "id int, memory string, ingested timestamp, created string, modified string")
+    m = spark.createDataFrame([("m", "UTC", None)], "memory string, tz string, date_order string")
+    got = {x["id"]: x["utc_us"] for x in ts.normalised_instants(r, m).filter("field = 'created'").collect()}
+    assert got == {i: int((d - EPOCH) / timedelta(microseconds=1)) for i, d in enumerate(days + later)}
 
 
 def test_neighbours_settle_undeclared_dates(spark):
