@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextra.scratch import checkpoint
+from bitextra.scratch import checkpoint, materialize
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
@@ -386,12 +386,13 @@ def normalised_instants(records: DataFrame, memories: DataFrame, rewritten_only:
 
 
 def learned_orders(records: DataFrame, memories: DataFrame) -> DataFrame:
-    """memory, field, declared, values, as_declared: slash dates with two readings, and how many are read as the memory
+    """memory, field, declared, slash_dates, as_declared: slash dates with two readings, and how many are read as the memory
     declares when its declaration is withheld and only the sequence of the values tells."""
     clock = memories.filter("date_order IN ('mdy', 'dmy')").select("memory", "tz", F.col("date_order").alias("declared")).dropDuplicates(["memory"])
     long = records.select("id", "memory", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in ("created", "modified")])).alias("x"))
     long = long.select("id", "memory", "x.*").filter(F.col("value").rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}")).join(clock, "memory")
-    open_ = with_interpretations(long, "value", "r", F.col("tz"), F.col("declared")).filter(F.array_max("r.us") > F.array_min("r.us"))
-    open_ = open_.select("id", "memory", "field", "declared", declared_instant(F.col("r")).alias("us"))
+    # written down first: a filter on the readings would be pushed below the projections and repeat them
+    read = with_interpretations(long, "value", "r", F.col("tz"), F.col("declared")).select("id", "memory", "field", "declared", declared_instant(F.col("r")).alias("us"), F.array_max("r.us").alias("top"), F.array_min("r.us").alias("low"))
+    open_ = materialize(read, "slash-dates").filter("top > low").drop("top", "low")
     got = open_.join(normalised_instants(records, memories, withheld=True), ["id", "field"])
-    return got.groupBy("memory", "field", "declared").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("us") == F.col("utc_us")).alias("as_declared"))
+    return got.groupBy("memory", "field", "declared").agg(F.count(F.lit(1)).alias("slash_dates"), F.count_if(F.col("us") == F.col("utc_us")).alias("as_declared"))

@@ -66,7 +66,12 @@ def p4_instants(spark, d):
     return timestamps.normalised_instants(table(spark, d, "records"), table(spark, d, "memories"))
 
 
-@query()
+_SLASH = r"""SELECT r.memory, '{0}' AS field, date_order AS declared, count(*) AS slash_dates, count(*) AS as_declared FROM records r JOIN memories m ON r.memory = m.memory
+    WHERE date_order IN ('mdy', 'dmy') AND regexp_matches({0}, '^ *\d{{1,2}}/\d{{1,2}}/\d{{4}}( \d{{1,2}}:\d{{2}}(:\d{{2}})?)? *$') AND CAST(regexp_extract({0}, '(\d+)/(\d+)/', 1) AS INTEGER) BETWEEN 1 AND 12
+    AND CAST(regexp_extract({0}, '(\d+)/(\d+)/', 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(regexp_extract({0}, '(\d+)/(\d+)/', 1) AS INTEGER) <> CAST(regexp_extract({0}, '(\d+)/(\d+)/', 2) AS INTEGER) GROUP BY ALL"""
+
+
+@query(_SLASH.format("created") + " UNION ALL " + _SLASH.format("modified"))
 def p4_withheld(spark, d):
     return timestamps.learned_orders(table(spark, d, "records"), table(spark, d, "memories"))
 
@@ -279,7 +284,17 @@ def gls_bidirectional(spark, d):
     return lookup.glossary_hits(_asked(spark, d), table(spark, d, "glossary"), bidirectional=True).select("query_id", "id", "term")
 
 
-@query()
+_G_NEAR = f"""(SELECT q.query_id, q.q, g.id, g.term, g.translation, g.t FROM {_Q} q, {_G} g WHERE q <> '' AND t <> '')"""
+
+
+@query(
+    f"""WITH p AS (SELECT *, length(t) AS n, contains(q, t) AS inside FROM {_G_NEAR}),
+    w AS (SELECT query_id, id, min(levenshtein(b_code, substring(a_code, CAST(i AS INTEGER), CAST(n + j AS INTEGER)))) AS d
+        FROM {sql.coded('(SELECT * FROM p WHERE NOT inside AND n >= 10)', 'q', 't')}, unnest(range(1, length(q) + 1)) x(i), unnest(range(-CAST(floor(n / 10) AS INTEGER), CAST(floor(n / 10) AS INTEGER) + 1)) y(j) GROUP BY ALL),
+    h AS (SELECT p.*, CASE WHEN inside THEN 1.0::DOUBLE ELSE (n - d)::DOUBLE / n END AS score FROM p LEFT JOIN w USING (query_id, id)),
+    r AS (SELECT query_id, id, term, translation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(term) DESC, id) AS match_rank FROM h WHERE score >= 0.9::DOUBLE)
+    SELECT * FROM r WHERE match_rank <= 20"""
+)
 def gls_fuzzy(spark, d):
     return lookup.glossary_lookup(_asked(spark, d), table(spark, d, "glossary"), 0.9, k=20)
 
@@ -602,6 +617,33 @@ def pln_actions(spark, d):
     return planner.actions(plan).join(planner.landing_rows(plan, planner.walk_stops(s, 2), 2), "sheet_id")
 
 
+def _trimmed(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^{sql.BLANKS}|{sql.BLANKS}$', '', 'g')"
+
+
+_EXACT_PLAN = f"""WITH c AS (SELECT sheet_id, row_num, {_trimmed('src')} AS s, {_trimmed('tgt')} AS t FROM cells),
+    m AS (SELECT f, target, row_number() OVER (PARTITION BY f ORDER BY refcount DESC NULLS LAST, id) AS k FROM (SELECT *, {sql.make_cmp('source')} AS f FROM records) WHERE f <> ''),
+    j AS (SELECT c.*, m.f IS NOT NULL AS met, m.target FROM c LEFT JOIN m ON {sql.make_cmp('c.s')} = m.f AND m.k = 1)"""
+
+
+@query(
+    _EXACT_PLAN + """ SELECT sheet_id, row_num, CASE WHEN s = '' THEN 'empty_source' WHEN t <> '' THEN 'filled' WHEN met THEN 'exact' ELSE 'no_match' END AS status,
+    CASE WHEN s <> '' AND t = '' AND met THEN coalesce(target, '') END AS value, s <> '' AND t = '' AND met AS written FROM j"""
+)
+def pln_exact(spark, d):
+    cells = table(spark, d, "cells").select("sheet_id", "row_num", "src", "tgt")
+    return planner.selection_plan(planner.statuses(cells, table(spark, d, "records"), [], [], 1.0)).select("sheet_id", "row_num", "status", "value", "written")
+
+
+@query(
+    _EXACT_PLAN + """ SELECT sheet_id, min(row_num) FILTER (s = '' OR NOT met) AS stop_row, coalesce(arg_min(CASE WHEN s = '' THEN 'empty_source' ELSE 'no_match' END, row_num) FILTER (s = '' OR NOT met), 'end_of_batch') AS stop_reason
+    FROM j WHERE row_num >= 2 GROUP BY sheet_id"""
+)
+def pln_exact_walk(spark, d):
+    cells = table(spark, d, "cells").select("sheet_id", "row_num", "src", "tgt")
+    return planner.walk_stops(planner.statuses(cells, table(spark, d, "records"), [], [], 1.0, True), 2).select("sheet_id", "stop_row", "stop_reason")
+
+
 # exchange formats: written and read again
 
 
