@@ -34,6 +34,10 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return near.record_links(table(spark, d, "records"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.record_groups(table(spark, d, "records"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "records"), table(spark, d, "langsamples"))
 
@@ -96,7 +100,7 @@ def p9_figures(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_collapsed": p1_collapsed, "p1_collisions": p1_collisions,
-    "p2_found": p2_found, "p2_links": p2_links,
+    "p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_languages": p3_languages, "p3_passages": p3_passages,
     "p6_found": p6_found, "p6_forms": p6_forms, "p6_classes": p6_classes,
     "p5_found": p5_found, "p5_golden": p5_golden,

@@ -232,3 +232,23 @@ def test_look_forms_and_classes(spark):
     r = spark.createDataFrame([(1, "ABC", "x y"), (2, "ABC", "x y"), (3, "ＡBC", "x y"), (4, "AВC", "x\u00a0y"), (5, "abc", "x y"), (6, None, "x y")], "id bigint, source string, target string")
     assert {tuple(x) for x in looks.look_alikes(r).collect()} == {(1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
     assert {tuple(x) for x in looks.look_classes(r).collect()} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4)}
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (20, 21), (5, 1)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201 + i) for i in range(30)]
+    got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {**dict.fromkeys(range(1, 6), 1), **dict.fromkeys((7, 8, 9), 7), **dict.fromkeys((20, 21), 20), **dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(200, 231), 200)}
+    assert got == want
+    assert near.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hot_keys_lose_no_pair(spark, monkeypatch):
+    base = "the quick brown fox jumps over the lazy dog and runs away into the dark forest number"
+    rows = [dict(id=i, source=f"{base} {i}", target=f"{base} again {i}") for i in range(40)]
+    plain = {tuple(r) for r in near.similar_records(table(spark, *rows)).collect()}
+    monkeypatch.setattr(near, "HOT", 6)
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    monkeypatch.setattr(near, "HOT_SHARE", 0)
+    assert {tuple(r) for r in near.similar_records(table(spark, *rows)).collect()} == plain and len(plain) > 300
+    groups = {r["group_id"] for r in near.record_groups(table(spark, *rows)).collect()}
+    assert groups == {0}
