@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bitextra.functions import columns as C
 from bitextra.functions.strings import find_bounded, fold
+from bitextra.operators.lookup import GRAM, grams
 from bitextra.operators.placement import SMALL
 from bitextra.scratch import spread
 
@@ -37,16 +38,17 @@ def capital_words(records: DataFrame, glossary: DataFrame) -> DataFrame:
     return words.join(known, "w", "left_anti").select("id", "word")
 
 
-def terms(records: DataFrame, glossary: DataFrame, folded_edges: bool = False) -> DataFrame:
+def terms(records: DataFrame, glossary: DataFrame, folded_edges: bool = False, small: int = SMALL) -> DataFrame:
     """id, term_id, term, translation: terms of the source whose translation the target lacks, at word boundaries.
 
-    The glossary travels with the tasks, behind a check of its size; all its terms are found in one pass over a text
-    where an Aho-Corasick automaton is at hand.  A wide letter beside a term is no letter that runs on, unless
-    ``folded_edges``.  Entries without a term or translation are left out.
+    A glossary of up to ``small`` entries travels with the tasks; all its terms are found in one pass over a text where
+    an Aho-Corasick automaton is at hand.  A larger one meets the texts by the first characters of its terms; the rows
+    are the same.  A wide letter beside a term is no letter that runs on, unless ``folded_edges``.  Entries without a
+    term or translation are left out.
     """
-    rows = glossary.select("id", "term", "translation").filter("term <> '' AND translation <> ''").orderBy("id").limit(SMALL + 1).collect()
-    if len(rows) > SMALL:
-        raise ValueError(f"glossaries of more than {SMALL} entries do not travel with the tasks")
+    rows = glossary.select("id", "term", "translation").filter("term <> '' AND translation <> ''").orderBy("id").limit(small + 1).collect()
+    if len(rows) > small:
+        return _terms_joined(records, glossary, folded_edges)
     entries = [(r["id"], r["term"], r["translation"]) for r in rows]
     kind = glossary.schema["id"].dataType.simpleString()
     id_kind = records.schema["id"].dataType.simpleString()
@@ -71,6 +73,28 @@ def terms(records: DataFrame, glossary: DataFrame, folded_edges: bool = False) -
     return texts.mapInPandas(run, f"id {id_kind}, term_id {kind}, term string, translation string")
 
 
+def _lacks(source: str, target: str, term: str, translation: str, folded_edges: bool) -> bool:
+    """Whether the source holds the folded term at word boundaries and the target not its folded translation."""
+    s, t = fold(source), fold(target)
+    if folded_edges:
+        source, target = s, t
+    return find_bounded(source, term, 0, s) >= 0 and (translation not in t or find_bounded(target, translation, 0, t) < 0)
+
+
+def _terms_joined(records: DataFrame, glossary: DataFrame, folded_edges: bool) -> DataFrame:
+    """``terms`` as a join of the runs of each text with the first characters of each term."""
+    g = glossary.select(F.col("id").alias("term_id"), "term", "translation").filter("term <> '' AND translation <> ''")
+    g = g.withColumns({"__t": C.fold("term"), "__x": C.fold("translation")}).withColumn("__key", F.substring("__t", 1, GRAM))
+    texts = records.select("id", "source", F.coalesce("target", F.lit("")).alias("target")).filter("source <> ''").withColumn("__s", C.fold("source"))
+    met = texts.withColumn("__key", F.explode(grams(F.col("__s")))).join(g, "__key").filter(F.contains("__s", F.col("__t")))
+
+    @F.pandas_udf("boolean")
+    def lacks(s: pd.Series, t: pd.Series, term: pd.Series, translation: pd.Series) -> pd.Series:
+        return pd.Series([_lacks(*x, folded_edges) for x in zip(s, t, term, translation)], dtype=bool)
+
+    return met.filter(lacks("source", "target", "__t", "__x")).select("id", "term_id", "term", "translation")
+
+
 def _finder(terms: list[str]) -> Callable[[str], set[str]]:
     """Which of the terms a text holds."""
     try:

@@ -651,6 +651,8 @@ def _folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one, which for these formats must be a mounted file system."""
     base = shared_dir(spark)
     base = base[7:] if base.startswith("file://") else base[5:] if base.startswith("file:") else base
+    if "://" in base:
+        raise ValueError(f"exchange formats need a mounted folder, not {base}")
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
 

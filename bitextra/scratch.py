@@ -7,6 +7,7 @@ Tables written here survive the loss of an executor, unlike cached blocks.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one of our own where the session names none."""
+    """The cluster's shared folder, or, on one machine, a local one of our own where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and set_by_call.isDefined():
+        base = set_by_call.get()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="bitextra-")

@@ -86,7 +86,7 @@ class _Writer(DataSourceArrowWriter):
             elif self.kind == "xliff":
                 formats.write_xliff(f, rows, o.get("sourcelang", "en"), o.get("targetlang", "ja"), o.get("version", "1.2"))
             else:
-                formats.write_xlsx(f, rows)
+                formats.write_xlsx(f, rows, o.get("sourcelang", "Source"), o.get("targetlang", "Target"))
         return _Written(path)
 
     def commit(self, messages: list) -> None:

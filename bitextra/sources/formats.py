@@ -57,13 +57,28 @@ def match_language(found: Iterable[str], wanted: str | None, strict: bool) -> st
     return next((k for k in found if k.startswith(wanted + dash) or wanted.startswith(k + dash)), None)
 
 
+def _elements(f: BinaryIO, *names: str, drop: tuple[str, ...] = ()) -> Iterator[ET.Element]:
+    """The elements of these local names as they end; they and those of ``drop`` then leave the tree, so it stays small."""
+    path: list[ET.Element] = []
+    for event, e in ET.iterparse(f, events=("start", "end")):
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        name = _local(e.tag)
+        if name in names:
+            yield e
+        if path and (name in names or name in drop):
+            path[-1].remove(e)
+
+
 def read_tmx(f: BinaryIO, source_lang: str | None = None, target_lang: str | None = None, flavour: str = "js", now: datetime | None = None) -> Iterator[dict]:
     """Translation units. 'js': context, regions by dash, languages kept from the first unit on, missing dates null.
     'py': languages by prefix, the target must differ from the source, both must have text, missing dates are ``now``."""
     js = flavour == "js"
     source_lang = source_lang.lower() if source_lang else None
     target_lang = target_lang.lower() if target_lang else None
-    for _, e in ET.iterparse(f, events=("end",)):
+    for e in _elements(f, "header", "tu"):
         name = _local(e.tag)
         if name == "header" and not source_lang and e.get("srclang"):
             source_lang = e.get("srclang").lower()
@@ -92,19 +107,15 @@ def read_tmx(f: BinaryIO, source_lang: str | None = None, target_lang: str | Non
                     "source": texts[s], "target": texts[t], "context": context, "created": created or (None if js else now), "modified": modified or (None if js else now),
                     "created_by": e.get("creationid") or "", "modified_by": e.get("changeid") or "", "refcount": int(used) if used.isdigit() else 0,
                 }
-        e.clear()
 
 
 def read_xliff(f: BinaryIO) -> Iterator[dict]:
     """Units of version 1.2 and 2.0; units without a source are left out, a missing target is ''."""
-    unit = ("trans-unit", "segment")
-    for _, e in ET.iterparse(f, events=("end",)):
-        if _local(e.tag) in unit:
-            part = {_local(x.tag): x for x in e}
-            source = _text(part.get("source"), False)
-            if source:
-                yield {"source": source, "target": _text(part.get("target"), False)}
-            e.clear()
+    for e in _elements(f, "trans-unit", "segment", drop=("unit",)):
+        part = {_local(x.tag): x for x in e}
+        source = _text(part.get("source"), False)
+        if source:
+            yield {"source": source, "target": _text(part.get("target"), False)}
 
 
 def _column(ref: str) -> int:
@@ -118,14 +129,12 @@ def _column(ref: str) -> int:
 
 def read_xlsx(f: BinaryIO, source_col: int = 1, target_col: int = 2, sheet: str | None = None, header_row: int = 1) -> Iterator[dict]:
     """Rows below the header with text in either column; columns count from 1."""
-    book = zipfile.ZipFile(io.BytesIO(f.read()))
+    book = zipfile.ZipFile(f if f.seekable() else io.BytesIO(f.read()))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         with book.open("xl/sharedStrings.xml") as s:
-            for _, e in ET.iterparse(s):
-                if _local(e.tag) == "si":
-                    shared.append("".join(t.text or "" for t in e.iter() if _local(t.tag) == "t"))
-                    e.clear()
+            for e in _elements(s, "si"):
+                shared.append("".join(t.text or "" for t in e.iter() if _local(t.tag) == "t"))
     rels = {r.get("Id"): r.get("Target") for r in ET.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
     sheets = [(s.get("name"), s.get(f"{{{RELS}}}id")) for s in ET.parse(book.open("xl/workbook.xml")).getroot().iter(f"{{{SHEET}}}sheet")]
     chosen = next((r for n, r in sheets if sheet is None or n == sheet), None)
@@ -134,9 +143,7 @@ def read_xlsx(f: BinaryIO, source_col: int = 1, target_col: int = 2, sheet: str
     path = rels[chosen].lstrip("/")
     with book.open(path if path.startswith("xl/") else f"xl/{path}") as rows:
         number = 0
-        for _, e in ET.iterparse(rows):
-            if _local(e.tag) != "row":
-                continue
+        for e in _elements(rows, "row"):
             number = int(e.get("r") or number + 1)
             cells = {}
             for c in e:
@@ -148,7 +155,6 @@ def read_xlsx(f: BinaryIO, source_col: int = 1, target_col: int = 2, sheet: str
                     cells[at] = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
                 elif "v" in inner:
                     cells[at] = inner["v"].text or ""
-            e.clear()
             s, t = (cells.get(k, "").strip() for k in (source_col, target_col))
             if number > header_row and (s or t):
                 yield {"source": s, "target": t}
@@ -202,21 +208,20 @@ def write_xliff(f: BinaryIO, records: Iterable[dict], source_lang: str = "en", t
 
 
 #: fixed values: columns of the spreadsheet and of the tab-separated file
-SHEET_HEADER = ("Source", "Target", "Context", "Reliability", "Created", "Modified", "Validated", "Ref Count", "Created By", "Modified By")
+SHEET_HEADER = ("Source", "Target", "Context", "Reliability", "Validated", "Ref Count", "Created", "Modified", "Created By", "Modified By")
 TSV_HEADER = ("source", "target", "context", "reliability", "created", "modified", "validated")
 _WIDTH_ROWS, _WIDEST = 101, 60
 
 
 def _row(r: dict) -> list:
     date = lambda d: d.isoformat() if d else ""
-    return [r.get("source") or "", r.get("target") or "", r.get("context") or "", r.get("reliability") or 0, date(r.get("created")), date(r.get("modified")), "Yes" if r.get("validated") else "No", r.get("refcount") or 0, r.get("created_by") or "", r.get("modified_by") or ""]
+    return [r.get("source") or "", r.get("target") or "", r.get("context") or "", r.get("reliability") or 0, "Yes" if r.get("validated") else "No", r.get("refcount") or 0, date(r.get("created")), date(r.get("modified")), r.get("created_by") or "", r.get("modified_by") or ""]
 
 
-def write_xlsx(f: BinaryIO, records: Iterable[dict]) -> None:
-    """One sheet with a bold header and column widths from the first rows."""
-    out = io.BytesIO()
+def write_xlsx(f: BinaryIO, records: Iterable[dict], source_lang: str = "Source", target_lang: str = "Target") -> None:
+    """One sheet with a bold header, led by the two languages, and column widths from the first rows; rows are streamed."""
     names = "ABCDEFGHIJ"
-    head: list[list] = [list(SHEET_HEADER)]
+    head: list[list] = [[source_lang, target_lang, *SHEET_HEADER[2:]]]
     it = iter(records)
     for r in it:
         head.append(_row(r))
@@ -234,7 +239,7 @@ def write_xlsx(f: BinaryIO, records: Iterable[dict]) -> None:
         for r in it:
             yield _row(r)
 
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
         rel = "http://schemas.openxmlformats.org/package/2006/relationships"
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{rel}"><Relationship Id="r1" Type="{RELS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -246,5 +251,4 @@ def write_xlsx(f: BinaryIO, records: Iterable[dict]) -> None:
             for n, row in enumerate(rows(), 1):
                 s.write(f'<row r="{n}">{"".join(cell(k, n, v, int(n == 1)) for k, v in enumerate(row))}</row>'.encode())
             s.write(b"</sheetData></worksheet>")
-    f.write(out.getvalue())
 

@@ -26,8 +26,11 @@ def read_tsv(spark: SparkSession, path: str, source_col: int = 0, target_col: in
     return out.filter(keep)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Seven columns with a header; dates in ISO form, flags as Yes and No. Quoted where tabs or breaks need it."""
+def write_tsv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """Seven columns with a header; dates in ISO form, flags as Yes and No. Quoted where tabs or breaks need it.
+
+    Each file starts with a byte order mark, for spreadsheets, unless ``mark`` is false.
+    """
     def text(c: str):
         if c not in df.columns:
             return F.lit("")
@@ -37,7 +40,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
             return F.coalesce(F.regexp_replace(F.col(c).cast("string"), "^(\\d{4}-\\d{2}-\\d{2}) ", "$1T"), F.lit(""))
         return F.coalesce(F.col(c).cast("string"), F.lit("0" if c == "reliability" else ""))
 
-    out = df.select(*[text(c).alias(c) for c in TSV_HEADER])
+    out = df.select(*[text(c).alias(f"\ufeff{c}" if mark and k == 0 else c) for k, c in enumerate(TSV_HEADER)])
     out.write.options(sep="\t", quote='"', escape='"', header=True, emptyValue="", quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 

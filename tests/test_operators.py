@@ -200,3 +200,12 @@ def test_blocks_equal_strings():
                 if s >= least and min(len(q), len(t)) >= least * max(len(q), len(t)):
                     want[i, j] = s
         assert got == want, (least, mode)
+
+
+def test_term_check_at_its_limit(spark):
+    """A glossary one entry larger than what travels with the tasks gives the same rows."""
+    g = spark.createDataFrame([(1, "dark", "闇"), (2, "up", "x"), (3, "ダーク", "dark"), (4, "d", "e"), (5, "", "y")], "id int, term string, translation string")
+    r = spark.createDataFrame([(1, "Darkens dark", "闇の"), (2, "dark UP", None), (3, "ＤＡＲＫ up", "X"), (4, "だーくd", "dark e"), (5, None, "x")], "id int, source string, target string")
+    for edges in (False, True):
+        want = sorted(map(tuple, checks.terms(r, g, edges).collect()))
+        assert want and sorted(map(tuple, checks.terms(r, g, edges, small=4).collect())) == want == sorted(map(tuple, checks.terms(r, g, edges, small=3).collect()))
