@@ -38,7 +38,8 @@ NAMES = {
     "de": "deu ger german", "fr": "fra fre french", "es": "spa spanish",
 }
 
-_TAGS = re.compile(r"<[^<>]{1,80}>|\{[^{}]{0,40}\}|%\d*\$?[sd@]|\$\{[^{}]{0,40}\}|&[a-z]{2,8};|https?://\S+")
+_TAGS = re.compile(r"<[^<>]+>|\{[^{}]*\}|%\d*\$?[sd@]|\$\{[^{}]*\}|&[a-z]{2,8};|https?://\S+")
+#: a quotation of a few words is a label; a longer one is judged as a passage
 _QUOTED = re.compile(r"\"[^\"\n]{1,40}\"|“[^”\n]{1,40}”|「[^」\n]{1,20}」|『[^』\n]{1,20}』|‘[^’\n]{1,40}’|«[^»\n]{1,40}»")
 _CUT = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+|(?<=[。！？｡])[」』）)]*|[\r\n\t]+|\s/\s|(?<=[.!?。！？])\s*(?=[(（])")
 _GAP = re.compile(r"[\W\d_]+")
