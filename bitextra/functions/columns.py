@@ -140,6 +140,12 @@ def budget(a: ColumnLike, b: ColumnLike, least: float) -> Column:
     return (h - F.floor(h * F.lit(float(least)))).cast("int")
 
 
+def passes_symmetric_bag(a: ColumnLike, b: ColumnLike, least: float) -> Column:
+    """The legacy prefilter, by the symmetric difference of the characters; it also turns down pairs that reach ``least``."""
+    h = F.greatest(F.length(_c(a)), F.length(_c(b)))
+    return (h == 0) | ((h - bag_distance(a, b)) / h >= least)
+
+
 def length_ratio_ok(a: ColumnLike, b: ColumnLike, least: float) -> Column:
     la, lb = F.length(_c(a)), F.length(_c(b))
     return F.least(la, lb) >= F.lit(float(least)) * F.greatest(la, lb)

@@ -97,15 +97,17 @@ def similar_texts(queries: DataFrame, texts: DataFrame, least: float, mode: str
 
 def fuzzy_lookup(
     queries: DataFrame, memory: DataFrame, least: float = 0.7, mode: str = "auto", on: str = "source", k: int | None = 20,
-    penalty: bool = False, order: tuple[str, ...] = ("refcount",),
+    penalty: bool = False, order: tuple[str, ...] = ("refcount",), prefilter: str = "bound",
 ) -> DataFrame:
     """query_id, match_rank, score and the record, best first: score, then ``order`` falling (nulls last), then id.
 
-    Blank queries find nothing.  ``penalty`` takes off a hundredth for each inline tag that only one side has.
+    Blank queries find nothing.  ``prefilter`` 'symmetric' leaves out what the legacy prefilter turns down.  ``penalty`` takes off a hundredth for each inline tag that only one side has.
     """
     q = queries.select("query_id", "query", C.make_cmp("query").alias("q"))
     side = prepared(memory.select(*CARRIED)).withColumnRenamed(f"{on}_cmp", "s").drop("source_cmp", "target_cmp", "source_len", "target_len")
     found = similar_texts(q, side, least, mode)
+    if prefilter == "symmetric":
+        found = found.filter((F.col("q") == F.col("s")) | C.passes_symmetric_bag("q", "s", least))
     rows = q.join(found, "q").join(side, "s")
     if penalty:
         rows = rows.withColumn("score", F.col("score") - C.format_penalty("query", on)).filter(F.col("score") >= least)

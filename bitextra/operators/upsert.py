@@ -97,8 +97,10 @@ def update(memory: DataFrame, changes: DataFrame, now: Column | None = None) ->
     out = out.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in changes.columns if c != "id" and c in memory.columns})
     if "modified" in memory.columns and "modified" not in changes.columns:
         out = out.withColumn("modified", F.when(hit, now.cast(memory.schema["modified"].dataType)).otherwise(F.col("modified")))
-    for c, form in (("source_cmp", C.make_cmp("source")), ("target_cmp", C.make_cmp("target")), ("source_len", F.length(C.make_cmp("source")))):
-        if c in memory.columns:
+    forms = (("source_cmp", "source", False), ("target_cmp", "target", False), ("source_len", "source", True), ("cmp", "term", False), ("translation_cmp", "translation", False))
+    for c, text, length in forms:
+        if c in memory.columns and text in memory.columns:
+            form = F.length(C.make_cmp(text)) if length else C.make_cmp(text)
             out = out.withColumn(c, F.when(hit, form).otherwise(F.col(c)))
     return out.select(*memory.columns)
 

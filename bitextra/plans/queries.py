@@ -172,6 +172,16 @@ def sim_bag(spark, d):
     return _pairs(spark, d).select("sheet_id", "row_num", C.bag_distance("src", "source").alias("bag"), C.edit_lower_bound("src", "source").alias("bound"))
 
 
+@query(
+    f"""WITH a AS ({_CHARS.format('src')}), b AS ({_CHARS.format('source')}),
+    j AS (SELECT coalesce(a.sheet_id, b.sheet_id) AS sheet_id, coalesce(a.row_num, b.row_num) AS row_num, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS off FROM a FULL JOIN b ON a.sheet_id = b.sheet_id AND a.row_num = b.row_num AND a.ch = b.ch),
+    g AS (SELECT sheet_id, row_num, sum(off) AS bag FROM j GROUP BY ALL), p AS (SELECT *, greatest(length(src), length(source)) AS h FROM {_SQL_PAIRS})
+    SELECT p.sheet_id, p.row_num, h = 0 OR (h - coalesce(bag, 0))::DOUBLE / h >= 0.7::DOUBLE AS passes FROM p LEFT JOIN g USING (sheet_id, row_num)"""
+)
+def fil_symmetric(spark, d):
+    return _pairs(spark, d).select("sheet_id", "row_num", C.passes_symmetric_bag("src", "source", 0.7).alias("passes"))
+
+
 @query()
 def sim_words(spark, d):
     p = _pairs(spark, d).withColumns({c: C.make_cmp(c) for c in ("src", "source")})
@@ -396,10 +406,21 @@ def ups_delete(spark, d):
 _TERM_KEYS = sql.make_cmp("term") + " AS a, " + sql.make_cmp("coalesce(translation, '')") + " AS b"
 
 
-@query(f"SELECT DISTINCT {_TERM_KEYS}, 'exists' AS action FROM glossary WHERE trim(term) <> ''")
+@query(
+    f"""WITH old AS (SELECT DISTINCT {_TERM_KEYS} FROM glossary), new AS (SELECT DISTINCT {_TERM_KEYS} FROM (SELECT term, translation FROM glossary UNION ALL SELECT src, tgt FROM cells) x(term, translation) WHERE trim(term) <> '')
+    SELECT n.a, n.b, CASE WHEN o.a IS NULL THEN 'added' ELSE 'exists' END AS action FROM new n LEFT JOIN old o ON n.a = o.a AND n.b = o.b"""
+)
 def ups_terms(spark, d):
     g = table(spark, d, "glossary")
-    return up.add_terms(g, g.select(F.col("id").alias("seq"), "term", "translation")).select(F.col("cmp").alias("a"), F.col("translation_cmp").alias("b"), "action")
+    new = table(spark, d, "cells").select((F.col("sheet_id") * 1_000_000 + F.col("row_num")).alias("seq"), F.col("src").alias("term"), F.col("tgt").alias("translation"))
+    new = g.select(F.col("id").alias("seq"), "term", "translation").unionByName(new)
+    return up.add_terms(g, new).select(F.col("cmp").alias("a"), F.col("translation_cmp").alias("b"), "action")
+
+
+@query(f"SELECT id, CASE WHEN id % 7 = 0 THEN 'New <i>Term</i>' ELSE term END AS term, CASE WHEN id % 7 = 0 THEN 'new term' ELSE cmp END AS cmp, CASE WHEN id % 7 = 0 THEN {sql.make_cmp('translation')} ELSE translation_cmp END AS translation_cmp FROM glossary")
+def ups_edit_terms(spark, d):
+    g = table(spark, d, "glossary").select("id", "term", "translation", "cmp", "translation_cmp")
+    return up.update(g, g.filter("id % 7 = 0").select("id", F.lit("New <i>Term</i>").alias("term"))).select("id", "term", "cmp", "translation_cmp")
 
 
 @query(f"SELECT t AS cmp, id, term, translation FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY id) AS k FROM {_G} WHERE term <> '') WHERE k = 1")
@@ -692,6 +713,21 @@ def io_tsv(spark, d):
     return tsv.read_tsv(spark, f"file://{to}")
 
 
+@query(rf"SELECT regexp_replace(source, '^{sql.BLANKS}|{sql.BLANKS}$', '', 'g') AS source, regexp_replace(target, '^{sql.BLANKS}|{sql.BLANKS}$', '', 'g') AS target FROM records WHERE {_BOTH} AND regexp_matches(source, '[^\s\x0B\x{{85}}\p{{Z}}]') AND regexp_matches(target, '[^\s\x0B\x{{85}}\p{{Z}}]')")
+def io_tsv_pairs(spark, d):
+    to = _folder(spark, "pairs") + "/out"
+    tsv.write_tsv(_whole(spark, d), f"file://{to}")
+    return tsv.read_pairs(spark, f"file://{to}")
+
+
+@query("SELECT coalesce(term, '') AS term, coalesce(translation, '') AS translation, coalesce(notes, '') AS notes FROM glossary")
+def io_glossary_sheet(spark, d):
+    to = "file://" + _folder(spark, "sheet") + "/out"
+    tsv.write_glossary_sheet(table(spark, d, "glossary"), to)
+    back = spark.read.options(sep="\t", quote='"', escape='"', multiLine=True, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(to)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c.lower()) for c in ("Term", "Translation", "Notes")])
+
+
 # streams
 
 
@@ -718,3 +754,54 @@ def str_exact(spark, d):
 def str_once(spark, d):
     once = streams.deduplicated(_stream(spark, d, "lookups").select("lookup_id", F.col("looked_at").cast("timestamp").alias("looked_at")), "lookup_id", "looked_at", "3650 days")
     return _drained(once.select("lookup_id"), "once")
+
+
+def _cell_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d, "cells").select((F.col("sheet_id") * 1_000_000 + F.col("row_num")).alias("query_id"), F.col("src").alias("query"))
+
+
+@query(
+    f"""WITH q AS (SELECT sheet_id * 1000000 + row_num AS query_id, {sql.make_cmp('src')} AS q FROM cells), m AS (SELECT id, refcount, {sql.make_cmp('source')} AS s FROM records),
+    r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY refcount DESC NULLS LAST, id) AS match_rank FROM q JOIN m ON q.q = m.s WHERE q.q <> '')
+    SELECT query_id, match_rank, id FROM r WHERE match_rank <= 20"""
+)
+def str_lookups(spark, d):
+    to = f"{shared_dir(spark)}/stream-lookups-{uuid.uuid4().hex[:12]}"
+    sink = lambda df, epoch: df.select("query_id", "match_rank", "id").write.mode("overwrite").parquet(f"{to}/epoch={epoch}")
+    streams.lookup_stream(_cell_queries(spark, d), lambda: table(spark, d, "records"), sink, f"{to}-state", 1.0).awaitTermination()
+    return spark.read.schema("query_id bigint, match_rank bigint, id bigint").parquet(f"{to}/epoch=*")
+
+
+@query(ORACLES["ups_merged"])
+def str_merged(spark, d):
+    to = f"{shared_dir(spark)}/stream-merged-{uuid.uuid4().hex[:12]}"
+    latest = [table(spark, d, "records").select("id", "source", "target", "refcount")]
+
+    def save(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{to}/{epoch}")
+        latest[0] = spark.read.schema(df.schema).parquet(f"{to}/{epoch}")
+
+    pairs = _stream(spark, d, "cells").select((F.col("sheet_id") * 1_000_000 + F.col("row_num")).alias("seq"), F.col("src").alias("source"), F.col("tgt").alias("target"))
+    streams.upsert_stream(pairs, lambda: latest[0], save, f"{to}-state").awaitTermination()
+    return latest[0].select(C.make_cmp("source").alias("a"), C.make_cmp("target").alias("b"), F.col("refcount").cast("int").alias("refcount"))
+
+
+@query("SELECT sheet_id AS batch_id, 'B' || row_num AS range, tgt AS value FROM cells WHERE sheet_id IN (SELECT DISTINCT sheet_id FROM cells ORDER BY sheet_id DESC LIMIT 50)")
+def str_undo(spark, d):
+    done = table(spark, d, "cells").select(F.col("sheet_id").alias("batch_id"), F.concat(F.lit("B"), F.col("row_num").cast("string")).alias("range"), F.col("src").alias("value"), F.col("tgt").alias("old_value"))
+    return streams.undo_entries(done)
+
+
+@query(f"SELECT {sql.make_cmp('src')} AS source_cmp, {sql.make_cmp('tgt')} AS target_cmp, CAST(count(*) - 1 AS BIGINT) AS refcount FROM cells WHERE {sql.make_cmp('src')} <> '' AND {sql.make_cmp('tgt')} <> '' GROUP BY ALL")
+def str_counts(spark, d):
+    to = f"{shared_dir(spark)}/stream-counts-{uuid.uuid4().hex[:12]}"
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    was = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        counts = streams.counted_pairs(_stream(spark, d, "cells").select(F.col("src").alias("source"), F.col("tgt").alias("target")))
+        sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{to}/epoch={epoch}")
+        counts.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{to}-state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, was)
+    return spark.read.schema(counts.schema).parquet(f"{to}/epoch=*")

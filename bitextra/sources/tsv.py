@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitextra.scratch import materialize
 from bitextra.sources.formats import TSV_HEADER
 
 
@@ -26,6 +27,20 @@ def read_tsv(spark: SparkSession, path: str, source_col: int = 0, target_col: in
     return out.filter(keep)
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """source, target of the rows that have both; the first row of a file is a header if its first cell says 'source'."""
+    raw = _raw(spark, path, False, 2).select("c0", "c1", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = materialize(raw, "tsv-rows")
+    heads = rows.groupBy("file").agg(F.min(F.struct("at", "c0")).alias("first")).filter(F.col("first.c0").rlike("(?i)source")).select("file", F.col("first.at").alias("at"))
+    out = rows.join(heads, ["file", "at"], "left_anti").select(_trim("c0").alias("source"), _trim("c1").alias("target"))
+    return out.filter((F.col("source") != "") & (F.col("target") != ""))
+
+
+def write_glossary_sheet(glossary: DataFrame, path: str) -> None:
+    """Term, Translation and Notes of the glossary, in place of what was at ``path``."""
+    write_rows(glossary.select(F.col("term").alias("Term"), F.col("translation").alias("Translation"), F.col("notes").alias("Notes")), path, ["Term", "Translation", "Notes"])
+
+
 def write_tsv(df: DataFrame, path: str, mark: bool = True) -> None:
     """Seven columns with a header; dates in ISO form, flags as Yes and No. Quoted where tabs or breaks need it.
 
@@ -46,7 +61,7 @@ def write_tsv(df: DataFrame, path: str, mark: bool = True) -> None:
 
 def write_rows(df: DataFrame, path: str, columns: list[str]) -> None:
     """The columns as a quoted tab-separated table with a header."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.options(sep="\t", quote='"', escape='"', header=True, emptyValue="").mode("overwrite").csv(path)
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.options(sep="\t", quote='"', escape='"', header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
