@@ -14,6 +14,8 @@ from bitextra.functions import strings as S
 
 #: pairs that one vectorised pass works on, and token pairs whose costs are held at once
 PASS, TOKEN_PAIRS = 16_384, 8_000_000
+#: bytes of the table that tells which bigrams stand near each place, at most, but for a single query
+WINDOWS = 200_000_000
 _ONE = np.uint64(1)
 
 
@@ -180,7 +182,12 @@ def _fitting(q: Texts, t: Texts, least: float, chars: np.ndarray) -> tuple[np.nd
     # queries of about one length share their windows
     order = np.lexsort((q.length, chars))
     step = (np.log(np.maximum(q.length[order], 1)) / np.log(1.06)).astype(np.int64)
+    groups = []
     for group in np.split(order, np.flatnonzero((np.diff(step) != 0) | (np.diff(chars[order]) != 0)) + 1) if len(order) else []:
+        base, end = band(int(q.length[group[0]]), int(q.length[group[-1]]))
+        many = max(1, WINDOWS // max(1, int(q.length[group[-1]]) * 25 * (end - base)))
+        groups += [group[k : k + many] for k in range(0, len(group), many)]
+    for group in groups:
         points = [q.points[q.start[i] : q.start[i] + q.length[i]] for i in group]
         base, end = band(len(points[0]), len(points[-1]))
         near = _Windows(points, t, rank[base:end], least) if chars[group[0]] and least > 0.5 and len(points[0]) > 8 and base < end else None
